@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from korrel.llm import bpe, mix, pack, split
+from korrel.llm import bpe, mix, overlap, pack, split
 from korrel.session import read
 
 
@@ -27,6 +27,23 @@ def p5_fill(spark: SparkSession, d: str) -> DataFrame:
     return pack.fill_report(read(spark, d, "tokenized_examples"))
 
 
+def p6_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.cross_split_pairs(read(spark, d, "documents"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return p6_pairs(spark, d).select(F.least("eval_id", "train_id").alias("doc_id_a"), F.greatest("eval_id", "train_id").alias("doc_id_b"))
+
+
+def p6_report(spark: SparkSession, d: str) -> DataFrame:
+    docs = read(spark, d, "documents")
+    return overlap.report(docs, overlap.cross_split_pairs(docs))
+
+
+def p6_exact(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.exact_counts(read(spark, d, "documents"))
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_corpus(read(spark, d, "documents"))
 
@@ -44,6 +61,10 @@ QUERIES = {
     "p4_pieces": p4_pieces,
     "p5_containers": p5_containers,
     "p5_fill": p5_fill,
+    "p6_found": p6_found,
+    "p6_pairs": p6_pairs,
+    "p6_report": p6_report,
+    "p6_exact": p6_exact,
     "p7_ids": p7_ids,
     "p8_mixture": p8_mixture,
     "p8_shares": p8_shares,

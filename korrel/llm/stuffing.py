@@ -23,22 +23,22 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-REPEATS, SHORTEST, COVERED, CLAUSE, MIN_WORDS = 3, 6, 0.35, 0.16, 8
+REPEATS, SHORTEST, COVERED, PAGE_COVERED, CLAUSE, MIN_WORDS = 3, 6, 0.35, 0.3, 0.16, 8
 #: Function words of Dutch, English, German and French, fixed values in natural order.
 FUNCTION_WORDS = frozenset(
     """
     de het een en of maar want dus dat die dit deze is was zijn waren wordt worden werd werden heeft hebben had hadden kan kunnen
     kon mag mogen moet moeten zal zullen zou ben bent ik je jij u hij zij ze wij we men mij mijn uw hun haar hem er niet geen wel
-    ook nog al van in op aan bij met voor na naar om over onder uit tot te door tegen tussen sinds tijdens volgens zonder als dan
+    ook nog al van in op aan bij met voor na naar om over onder uit tot te door tegen tussen sinds tijdens volgens als dan
     wanneer waarbij wie wat welke toen omdat doch hoe
     the a an and or but that this these those is was are were be been has have had can could may might must will would should i
-    you he she it we they my your his her their its not no of in on at by with for after to from about under out until through
-    against between since during without as than when which who what because how while if before did do does
+    you he she it we they my your his her their its not of in on at by with for after to from about under out until through
+    against between since during as than when which who what because how while if before did do does
     der die das ein eine einer eines einem einen und oder aber dass ist war sind waren wird werden wurde wurden hat haben hatte
     kann darf muss soll ich du er sie es wir ihr nicht kein keine auch noch von im in auf an bei mit zu zum zur nach aus bis durch
-    gegen zwischen seit ohne als wenn den dem des für über unter vor wie
+    gegen zwischen seit als wenn den dem des für über unter vor wie
     le la les un une des du et ou mais que qui ce cette ces est était sont ont été être avoir peut doit je tu il elle nous vous
-    ils elles ne pas plus de d l à au aux en dans sur par avec pour après entre depuis sans comme se sa son ses leur
+    ils elles ne pas plus de d l à au aux en dans sur par avec pour après entre depuis comme se sa son ses leur
     """.split()
 )
 _UNIT = re.compile(r"[^\n\r]+?(?:[.!?…]+(?=\s)|(?=[\n\r])|\Z)")
@@ -110,6 +110,8 @@ def _clauses(unit: str) -> bool:
     """Whether a unit is built like a sentence: enough function words among its words, outside links."""
     words = [w.lower() for w in _WORD.findall(_LINK.sub(" ", unit))]
     grammar = sum(w in FUNCTION_WORDS for w in words)
+    if grammar == 1 and _PRICE.search(unit):  # an offer with a preposition in it
+        return False
     return bool(words) and grammar >= max(1, CLAUSE * len(words))
 
 
@@ -121,14 +123,15 @@ def stuffed_share(text: str) -> tuple[float, float]:
     if total < MIN_WORDS or 2 * sum(n for _, _, n, _ in bare) <= total:
         return 0.0, 0.0
     mask = covered(text)
-    stuffed, chars = 0, 0
+    stuffed = 0
+    chars = sum(int(mask[a:b].sum()) for a, b, _, _ in bare)
+    everywhere = chars >= PAGE_COVERED * sum(b - a for a, b, _, _ in bare)
     for a, b, n, _ in bare:
         unit, hits = text[a:b], int(mask[a:b].sum())
-        chars += hits
         links = sum(len(m.group().split()) for m in _LINK.finditer(unit)) + len(_TAG.findall(unit))
         marks = bool(_PRICE.search(unit)) or len(_LIST.findall(unit)) >= max(5, n / 4)
         repeats = hits / (b - a)
-        if repeats >= COVERED or links * 3 >= n or links and _PATH.search(unit) or marks and (n >= 15 or repeats >= COVERED / 2):
+        if everywhere or repeats >= COVERED or links * 3 >= n or links and _PATH.search(unit) or marks and (n >= 15 or repeats >= COVERED / 2):
             stuffed += n
     return stuffed / total, chars / len(text)
 

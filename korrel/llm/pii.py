@@ -30,8 +30,8 @@ from korrel.llm.tagger import KINDS, LABELS, BiLstmCrf, encode
 WEIGHTS = os.path.join(os.path.dirname(__file__), "pii_weights.npz")
 WINDOW, OVERLAP, BEFORE, AFTER, BATCH = 160, 64, 36, 30, 512
 #: Street words and titles, fixed values in natural order.
-STREETS = "straat|laan|kade|dreef|pad|plein|hof|singel|steeg|weg|gracht|park|markt|straße|strasse|gasse|platz|allee|street|road|lane|avenue"
-TITLES = ("Mw", "Mevr", "Dhr", "mw", "mevr", "dhr", "Mrs", "Frau")
+STREETS = "straat|laan|kade|dreef|pad|plein|hof|singel|steeg|weg|gracht|park|markt|straße|strasse|gasse|platz|allee|street|road|lane|avenue|str|pln"
+TITLES = ("dr.", "Dr.", "drs.", "Mw", "Mevr", "Dhr", "mw", "mevr", "dhr", "Mrs", "Frau")
 _STREET_ENDS = tuple(STREETS.split("|"))
 _DATE = re.compile(r"\D*(?:\d{1,2}[-/.]\d{1,2}[-/.]\d{4}|\d{4}-\d\d-\d\d)(?!\d)")
 _DIGIT = re.compile(r"\d")
@@ -67,9 +67,12 @@ def triggers(code: np.ndarray, text: str) -> np.ndarray:
     found.append(np.flatnonzero(((code == 91) | (code == 40) | (code == 123)) & at((code == 97) | (code == 65), 1) & at((code == 116) | (code == 84), 2) & ~at(lower | upper, 3)))
     groups = _within(digit, 16, 7)
     letters = np.r_[0, np.cumsum(lower | upper, dtype=np.int32)]
-    groups = groups[~at(digit, -1)[groups] & (letters[np.minimum(groups + 11, n)] == letters[groups])]
+    groups = groups[~at(digit, -1)[groups] & (letters[np.minimum(groups + 8, n)] == letters[groups])]
     found.append(np.array([g for g in groups.tolist() if not (_DATE.match(text, g, g + 14) and not _DIGIT.search(text, g + 10, g + 16))], np.int64))
     found.append(np.flatnonzero(_runs(digit | upper, digit)))
+    edge = np.diff(np.r_[0, digit.astype(np.int8), 0])
+    first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    found.append(first[last - first >= 7])
     numbers = np.flatnonzero(digit & at(space, -1) & (at(lower | upper, -2) | at((code == 46) | (code == 44), -2)))
     found.append(np.array([p for p in numbers.tolist() if _behind_street(text[max(0, p - 24) : p])], np.int64))
     for word in TITLES:
@@ -91,6 +94,9 @@ def triggers(code: np.ndarray, text: str) -> np.ndarray:
     inner = at(lower | digit, -2) | at((code == 44) | (code == 59) | (code == 41) | (code == 93) | (code == 38), -2) | at(upper, -2)
     found.append(np.flatnonzero(start & at(lower, 1) & at(lower, 2) & at(code == 32, -1) & inner))
     found.append(np.flatnonzero(start & at(lower, 1) & at(code == 45, -1) & at(lower, -2)))
+    word = start & at(lower, 1) & at(lower, 2) & at(lower, 3) & at(lower, 4) & at(lower, 5)
+    found.append(np.flatnonzero(word & at(code == 32, -1) & at(code == 58, -2)))
+    found.append(np.flatnonzero((code == 44) & at(upper, -1) & at(upper, -2) & at(upper, -3) & at(upper, 2) & at(code == 46, 3)))
     commas = np.flatnonzero((code == 44) & at(lower, -1) & at(lower, -4) & at(code == 32, 1))
     found.append(_starts_upper(commas, lower, start))
     found.append(_within(upper, 20, 13))

@@ -5,10 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from korrel.llm import bpe, mix, overlap, pack, split
+from korrel.llm import bpe, mix, mojibake, overlap, pack, pii, split, stuffing
 from korrel.session import read
 
 
+def p2_restored(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.find_garbled(read(spark, d, "documents"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_restored(spark, d).select("doc_id")
+
+
+def p3_clean(spark: SparkSession, d: str) -> DataFrame:
+    docs = pii.find_pii(read(spark, d, "documents"), "doc_id", "text").withColumn("origin", F.lit("documents"))
+    reports = pii.find_pii(read(spark, d, "radiology_reports"), "report_id", "content_attachment1_plain_data")
+    return docs.unionByName(reports.withColumn("origin", F.lit("radiology_reports")))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return p3_clean(spark, d).select("origin", "rec_id", F.explode("kinds").alias("kind"))
+
+
 def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     texts = split.split_texts(read(spark, d, "documents")).withColumn("origin", F.lit("documents"))
     items = split.split_ids(read(spark, d, "tokenized_examples")).withColumn("origin", F.lit("tokenized_examples"))
@@ -56,7 +74,19 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mix.shares(read(spark, d, "documents"), read(spark, d, "mix_targets"))
 
 
+def p9_scores(spark: SparkSession, d: str) -> DataFrame:
+    return stuffing.find_stuffed(read(spark, d, "documents"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_scores(spark, d).select("doc_id")
+
+
 QUERIES = {
+    "p2_found": p2_found,
+    "p2_restored": p2_restored,
+    "p3_found": p3_found,
+    "p3_clean": p3_clean,
     "p4_found": p4_found,
     "p4_pieces": p4_pieces,
     "p5_containers": p5_containers,
@@ -68,6 +98,8 @@ QUERIES = {
     "p7_ids": p7_ids,
     "p8_mixture": p8_mixture,
     "p8_shares": p8_shares,
+    "p9_found": p9_found,
+    "p9_scores": p9_scores,
 }
 SQL = {
     "p4_found": """

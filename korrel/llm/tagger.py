@@ -145,21 +145,21 @@ class BiLstmCrf:
         kept_b: list = []
         hf, hb = self._direction(x, "f", kept_f), self._direction(x, "b", kept_b)
         both = np.concatenate([hf, hb], 2)
-        scores = (both @ self.p["W"] + self.p["c"]).astype(np.float64)
+        scores = both @ self.p["W"] + self.p["c"]
         steps, batch, k = scores.shape
-        move, start = self.p["T"].astype(np.float64), self.p["start"].astype(np.float64)
-        alpha, beta = np.empty((steps, batch, k)), np.zeros((steps, batch, k))
+        move, start = self.p["T"], self.p["start"]
+        alpha, beta = np.empty((steps, batch, k), np.float32), np.zeros((steps, batch, k), np.float32)
         alpha[0] = scores[0] + start
+        gain = np.exp(move)
         for t in range(1, steps):
-            e = alpha[t - 1][:, :, None] + move[None]
-            m = e.max(1)
-            alpha[t] = scores[t] + m + np.log(np.exp(e - m[:, None]).sum(1))
+            m = alpha[t - 1].max(1, keepdims=True)
+            alpha[t] = scores[t] + m + np.log(np.exp(alpha[t - 1] - m) @ gain + 1e-30)
         m = alpha[-1].max(1)
         z = m + np.log(np.exp(alpha[-1] - m[:, None]).sum(1))
         for t in range(steps - 2, -1, -1):
-            e = move[None] + (scores[t + 1] + beta[t + 1])[:, None, :]
-            m = e.max(2)
-            beta[t] = m + np.log(np.exp(e - m[:, :, None]).sum(2))
+            ahead = scores[t + 1] + beta[t + 1]
+            m = ahead.max(1, keepdims=True)
+            beta[t] = m + np.log(np.exp(ahead - m) @ gain.T + 1e-30)
         rows = np.arange(batch)
         gold = scores[0][rows, y[0]] + start[y[0]]
         for t in range(1, steps):
@@ -170,8 +170,10 @@ class BiLstmCrf:
         d_scores = marginal
         d_move = np.zeros_like(move)
         for t in range(1, steps):
-            pair = np.exp(alpha[t - 1][:, :, None] + move[None] + (scores[t] + beta[t])[:, None, :] - z[:, None, None])
-            d_move += pair.sum(0)
+            # exp(alpha + move + score + beta - z) summed over the batch is a product of two matrices, scaled per row.
+            low, high = alpha[t - 1].max(1, keepdims=True), (scores[t] + beta[t]).max(1, keepdims=True)
+            left, right = np.exp(alpha[t - 1] - low), np.exp(scores[t] + beta[t] - high)
+            d_move += (left * np.exp(low + high - z[:, None])).T @ right * np.exp(move)
             np.add.at(d_move, (y[t - 1], y[t]), -1)
         d_start = marginal[0].sum(0)
         np.add.at(d_start, y[0], -1)
@@ -195,7 +197,9 @@ class BiLstmCrf:
                 dc = d_cell + ds * o * (1 - th * th)
                 dz = np.concatenate([dc * g * i * (1 - i), dc * cell * f * (1 - f), ds * th * o * (1 - o), dc * i * (1 - g * g)], 1)
                 g_u += state.T @ dz
-                np.add.at(g_e, x[t], dz)
+                seen = np.zeros((batch, _PLAIN), np.float32)
+                seen[rows, x[t]] = 1
+                g_e += seen.T @ dz
                 d_state, d_cell = dz @ u.T, dc * f
             grads["E" + d], grads["U" + d] = g_e, g_u
         return loss, grads

@@ -26,7 +26,7 @@ PHONE = re.compile(r"(?<![\w.+-])(?:\+\d\d ?\(?\d?\)?[\d -]{8,12}\d|00\d\d-\d-\d
 IDNUM = re.compile(r"(?<![\w.-])(?:\d{9}|\d{3} \d{3} \d{3}|\d{4}-\d{5}|\d{4}\.\d\d\.\d{3}|\d{7}|\d{3}\.\d{4}|[A-Z]\d{8}|[A-Z]{2}[A-Z\d]{6}\d)(?![\w-]|\.\d)")
 NO_IDNUM = re.compile(r"(?i)(?:accessienummer|monsternummer|artikelnummer|lotnummer|sample|échantillon|probennummer|sku|dossier|studie|trial registration|beeld|serie|image|lot|charge|article)\W*(?:no\W*|nr\W*)?\Z")
 ADDRESS = re.compile(
-    r"(?:(?:[Ll]aan van|[Oo]ude|[Kk]orte|[Ll]ange|[Nn]ieuwe|[Bb]urg\.) )?\b[A-Za-zë]{3,}(?i:straat|laan|kade|dreef|pad|plein|hof|singel|steeg|weg|gracht|straße|strasse|gasse|platz) (?:nr\. ?)?\d{1,4}(?:[a-zA-Z]\b|-(?:\d{1,3}|I{1,3}|IV)\b| bis\b| hs\b)?(?:, \d{4} ?[A-Z]{2}\b)?(?: (?:te )?[A-Z][a-z]+(?:voort|kerk|veld|dam|burg|schans|ham|hoven|wolde|ningen|ringen|beek|drecht|loo|meer)\b)?"
+    r"(?:(?:[Ll]aan van|[Oo]ude|[Kk]orte|[Ll]ange|[Nn]ieuwe|[Bb]urg\.) )?\b[A-Za-zë]{3,}(?i:straat|laan|kade|dreef|pad|plein|hof|singel|steeg|weg|gracht|straße|strasse|gasse|platz|str\.|pln\.?) (?:nr\. ?)?\d{1,4}(?:[a-zA-Z]\b|-(?:\d{1,3}|I{1,3}|IV)\b| bis\b| hs\b)?(?:, \d{4} ?[A-Z]{2}\b)?(?: (?:te )?[A-Z][a-z]+(?:voort|kerk|veld|dam|burg|schans|ham|hoven|wolde|ningen|ringen|beek|drecht|loo|meer)\b)?"
     r"|\b\d{1,4}(?: bis| ter)?,? (?:rue|avenue|impasse|boulevard|place|chemin|quai|allée) (?:(?:du|de la|de l’|des|de) ?)?[A-Z]\w+"
     r"|\b\d{1,4}\w? [A-Z][a-z]+ (?:Street|St\b\.?|Road|Rd|Lane|Avenue|Ave|Close|Drive)"
     r"|\b(?:Am|Im|Zum|Zur|An der|Auf dem) [A-Z]\w+ \d{1,3}[a-z]?\b"
@@ -137,7 +137,7 @@ def windows_of(texts: list[str], labeller: Labeller, rng: random.Random, limit:
             t, spans = exchange(t, spans, set(labeller.names), rng)
         y, x = label_ids(len(t), spans), encode(t)
         for _, a, b, _ in pii.passages([t]):
-            if not any(s < b and e > a for s, e, _ in spans) and rng.random() > 0.35:
+            if not any(s < b and e > a for s, e, _ in spans) and rng.random() > 0.3:
                 continue
             start = max(0, a - rng.randint(0, 10))
             for s in range(start, b, LENGTH - 32):
@@ -151,8 +151,8 @@ def windows_of(texts: list[str], labeller: Labeller, rng: random.Random, limit:
     return np.array(xs[:limit]), np.array(ys[:limit])
 
 
-def train(x: np.ndarray, y: np.ndarray, seconds: float, batch: int = 96) -> BiLstmCrf:
-    model = BiLstmCrf.fresh(HIDDEN, SEED)
+def train(x: np.ndarray, y: np.ndarray, seconds: float, begin: str | None = None, batch: int = 64) -> BiLstmCrf:
+    model = BiLstmCrf.load(begin) if begin else BiLstmCrf.fresh(HIDDEN, SEED)
     m = {k: np.zeros_like(v) for k, v in model.p.items()}
     v = {k: np.zeros_like(w) for k, w in model.p.items()}
     rng, began, step, losses = np.random.default_rng(SEED), time.time(), 0, []
@@ -169,7 +169,7 @@ def train(x: np.ndarray, y: np.ndarray, seconds: float, batch: int = 96) -> BiLs
             norm = np.sqrt(sum(float((g.astype(np.float64) ** 2).sum()) for g in grads.values()))
             scale = min(1.0, 1.0 / (norm + 1e-9))
             step += 1
-            rate = 0.006 * (1 - done) + 1e-5
+            rate = (0.004 if begin else 0.006) * (1 - done) + 1e-5
             for k, g in grads.items():
                 g = (g * scale).astype(np.float32)
                 m[k] += 0.1 * (g - m[k])
@@ -208,7 +208,7 @@ def main(args: list[str]) -> None:
     parts = [windows_of(g, labeller, rng, SAMPLE // 3) for g in groups]
     x, y = (np.concatenate(z) for z in zip(*[p for p in parts if len(p[0])]))
     print(len(x), "windows;", {LABELS[i]: int((y == i).sum()) for i in range(len(LABELS))}, flush=True)
-    model = train(x, y, seconds)
+    model = train(x, y, seconds, args[args.index("--from") + 1] if "--from" in args else None)
     model.save(out)
     tag = pii.Finder(out)
     hit: dict[str, list[int]] = {k: [0, 0, 0] for k in KINDS}

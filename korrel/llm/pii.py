@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from korrel.llm.tagger import KINDS, LABELS, BiLstmCrf, encode
 
 WEIGHTS = os.path.join(os.path.dirname(__file__), "pii_weights.npz")
-WINDOW, OVERLAP, BEFORE, AFTER, BATCH = 160, 64, 36, 30, 512
+WINDOW, OVERLAP, BEFORE, AFTER, BATCH = 160, 64, 30, 24, 512
 #: Street words and titles, fixed values in natural order.
 STREETS = "straat|laan|kade|dreef|pad|plein|hof|singel|steeg|weg|gracht|park|markt|straße|strasse|gasse|platz|allee|street|road|lane|avenue|str|pln"
 TITLES = ("dr.", "Dr.", "drs.", "Mw", "Mevr", "Dhr", "mw", "mevr", "dhr", "Mrs", "Frau")
@@ -163,6 +163,8 @@ def _sound(kind: str, part: str) -> bool:
 
 def spans_of(labels: np.ndarray, text: str, offset: int) -> list[tuple[int, int, str]]:
     """Spans of a passage's labels: runs of one kind; a B- begins a new one."""
+    if not labels.any():
+        return []
     kind = (labels + 1) // 2
     edges = np.flatnonzero(np.r_[True, (kind[1:] != kind[:-1]) | ((labels[1:] % 2 == 1) & (labels[1:] > 0))])
     out = []

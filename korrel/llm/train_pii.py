@@ -20,7 +20,7 @@ import numpy as np
 from korrel.llm import pii
 from korrel.llm.tagger import KINDS, LABELS, BiLstmCrf, encode
 
-SAMPLE, HIDDEN, LENGTH, SEED = 26_000, 32, 128, 7
+SAMPLE, HIDDEN, LENGTH, SEED = 30_000, 32, 112, 7
 EMAIL = re.compile(r"[\w.+-]+ ?(?:@|\(at\)|\[at\]) ?[\w-]+(?:(?:\.|\[punt\]|\(punt\)|\[dot\]|\(dot\))[\w-]+)+")
 PHONE = re.compile(r"(?<![\w.+-])(?:\+\d\d ?\(?\d?\)?[\d -]{8,12}\d|00\d\d-\d-\d{8}|\d\d-\d{8}|\d\d(?: \d\d){4}|\d\d\.\d\d\.\d{3}\.\d{3}|\(\d{3}\) \d{3}(?:-\d{4}| \d\d \d\d)|\d{3} - \d{7}|0\d{9})(?![\w-]|\.\d)")
 IDNUM = re.compile(r"(?<![\w.-])(?:\d{9}|\d{3} \d{3} \d{3}|\d{4}-\d{5}|\d{4}\.\d\d\.\d{3}|\d{7}|\d{3}\.\d{4}|[A-Z]\d{8}|[A-Z]{2}[A-Z\d]{6}\d)(?![\w-]|\.\d)")
@@ -137,7 +137,7 @@ def windows_of(texts: list[str], labeller: Labeller, rng: random.Random, limit:
             t, spans = exchange(t, spans, set(labeller.names), rng)
         y, x = label_ids(len(t), spans), encode(t)
         for _, a, b, _ in pii.passages([t]):
-            if not any(s < b and e > a for s, e, _ in spans) and rng.random() > 0.3:
+            if not any(s < b and e > a for s, e, _ in spans) and rng.random() > 0.5:
                 continue
             start = max(0, a - rng.randint(0, 10))
             for s in range(start, b, LENGTH - 32):

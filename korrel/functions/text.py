@@ -131,7 +131,7 @@ def split_on(c: Column | str, removed: Sequence[str], separators: Sequence[str])
     """Drops some characters, then splits at any of the separators (literal texts) and trims."""
     kept = reduce(lambda t, r: F.replace(t, F.lit(r), F.lit("")), removed, col(c))
     one = reduce(lambda t, s: F.replace(t, F.lit(s), F.lit("\x01")), separators, kept)
-    return F.transform(F.split(one, "\x01"), F.trim)
+    return F.transform(F.split(one, "\x01"), lambda s: F.trim(s))
 
 
 def byte_size(c: Column | str) -> Column:

@@ -198,8 +198,10 @@ def _strict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 rows.append((key, name, line, *load_record(_some(text), _some(kind), _some(idf), _some(tf))))
             except Reject:
                 pass
-        out = pd.DataFrame(rows, columns=["raw_id", "file_name", "line_no", "id", "text", "source", *COUNTS])
-        yield out.astype({c: "Int64" for c in COUNTS})
+        names = ["raw_id", "file_name", "line_no", "id", "text", "source", *COUNTS]
+        # Column by column, because a frame of mixed rows would turn counts with nulls into floats and lose digits.
+        columns = zip(*rows) if rows else [()] * len(names)
+        yield pd.DataFrame({n: pd.array(list(c), dtype="Int64" if n in ("raw_id", "line_no", *COUNTS) else object) for n, c in zip(names, columns)})
 
 
 def _diagnose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -112,17 +112,20 @@ class BiLstmCrf:
         """Best label path (T, B) under the CRF transitions."""
         steps, batch, k = scores.shape
         move = self.p["T"] + _FORBIDDEN
-        best = scores[0] + self.p["start"] + _NO_START
-        back = np.empty((steps, batch, k), np.int8)
+        best = np.empty((steps, batch, k), np.float32)
+        best[0] = scores[0] + self.p["start"]
         for t in range(1, steps):
-            every = best[:, :, None] + move[None]
-            back[t] = every.argmax(1)
-            best = np.take_along_axis(every, back[t][:, None, :].astype(np.int64), 1)[:, 0] + scores[t]
+            last, now = best[t - 1], best[t]
+            np.add(last[:, :1], move[0], out=now)
+            for j in range(1, k):
+                np.maximum(now, last[:, j : j + 1] + move[j], out=now)
+            now += scores[t]
+        # Which label came before is looked up on the way back, for the labels of the path alone.
+        into = np.ascontiguousarray(move.T)
         path = np.empty((steps, batch), np.int8)
-        path[-1] = best.argmax(1)
-        rows = np.arange(batch)
+        path[-1] = best[-1].argmax(1)
         for t in range(steps - 1, 0, -1):
-            path[t - 1] = back[t][rows, path[t]]
+            path[t - 1] = (best[t - 1] + into[path[t]]).argmax(1)
         return path
 
     def best_labels(self, scores: np.ndarray) -> np.ndarray:
@@ -205,8 +208,8 @@ class BiLstmCrf:
         return loss, grads
 
 
-def _constraints() -> tuple[np.ndarray, np.ndarray]:
-    """I-x may follow only B-x or I-x, and may not start a window's path except where a window cuts a span."""
+def _constraints() -> np.ndarray:
+    """I-x may follow only B-x or I-x."""
     k = len(LABELS)
     no = np.zeros((k, k), np.float32)
     for b, lb in enumerate(LABELS):
@@ -214,7 +217,7 @@ def _constraints() -> tuple[np.ndarray, np.ndarray]:
             for a, la in enumerate(LABELS):
                 if la[2:] != lb[2:] or la == "O":
                     no[a, b] = -1e4
-    return no, np.zeros(k, np.float32)
+    return no
 
 
-_FORBIDDEN, _NO_START = _constraints()
+_FORBIDDEN = _constraints()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from korrel.functions import text as t
 from korrel.ordering import ordinal
-from korrel.session import broadcast_if_small, read
+from korrel.session import broadcast_if_small, read, spread
 
 MIN_WORDS = 32
 NO_SOURCE = "not available"
@@ -42,14 +42,14 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Clean with backreference steps, keep documents of MIN_WORDS words, count per source."""
-    docs = _docs(spark, d).filter("text is not null and length(text) > 0")
+    docs = spread(_docs(spark, d).filter("text is not null and length(text) > 0").select("source", "text"))
     counted = docs.select(F.coalesce("source", F.lit(NO_SOURCE)).alias("source"), t.word_count(t.clean("text")).alias("n"))
     keep = F.col("n") >= MIN_WORDS
     return counted.groupBy("source").agg(F.sum(keep.cast("bigint")).alias("kept"), F.sum(F.when(keep, F.col("n")).otherwise(0)).cast("bigint").alias("words"), F.sum((~keep).cast("bigint")).alias("skipped"))
 
 
 def normalise_wordcount(spark: SparkSession, d: str) -> DataFrame:
-    docs = _docs(spark, d).filter("text is not null and length(text) > 0")
+    docs = spread(_docs(spark, d).filter("text is not null and length(text) > 0").select("source", "text"))
     counted = docs.select(F.coalesce("source", F.lit(NO_SOURCE)).alias("source"), t.word_count(t.collapse_spaces(t.strip("text"))).alias("n"))
     keep = F.col("n") >= MIN_WORDS
     return counted.groupBy("source").agg(F.sum(keep.cast("bigint")).alias("kept"), F.sum(F.when(keep, F.col("n")).otherwise(0)).cast("bigint").alias("words"), F.sum((~keep).cast("bigint")).alias("skipped"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from korrel.functions import text as t
 from korrel.operators import reports as r
 from korrel.plans.corpus import lit, sql_chain, sql_collapse
-from korrel.session import broadcast_if_small, read
+from korrel.session import broadcast_if_small, read, spread
 
 TERMS = ("stenose", "stenosen", "vernauwing")
 NEGATIVE = ("geen", "zonder", "geen significante", "geen aanwijzingen voor significante")
@@ -20,7 +20,7 @@ NOISE = ("ostiale", "ruim", "diffuse", "tijdens", "significante")
 
 
 def _load(spark: SparkSession, d: str) -> DataFrame:
-    return r.load(read(spark, d, "radiology_reports"))
+    return spread(r.load(read(spark, d, "radiology_reports")))
 
 
 def _md5(c: F.Column) -> F.Column:
@@ -36,7 +36,7 @@ def report_exclude(spark: SparkSession, d: str) -> DataFrame:
 
 
 def report_replace(spark: SparkSession, d: str) -> DataFrame:
-    reports = read(spark, d, "radiology_reports").filter("content_attachment1_plain_data is not null")
+    reports = spread(read(spark, d, "radiology_reports").filter("content_attachment1_plain_data is not null").select("report_id", "content_attachment1_plain_data"))
     return reports.select("report_id", _md5(F.lower(t.replace_chain("content_attachment1_plain_data"))).alias("md5"))
 
 

@@ -9,7 +9,7 @@ from korrel.functions.text import sentences
 from korrel.operators import chunks as c
 from korrel.operators import vocabulary as v
 from korrel.plans.corpus import sql_words
-from korrel.session import read
+from korrel.session import read, spread
 
 SIZE, VOCAB, EOS, PAD, BATCH = 128, 2000, 1, 2, 100
 
@@ -24,7 +24,7 @@ def _items(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _encoded(spark: SparkSession, d: str) -> DataFrame:
-    docs = read(spark, d, "documents").select("doc_id", "text")
+    docs = spread(read(spark, d, "documents").select("doc_id", "text"))
     return v.encode(docs, ["doc_id"], "text", v.build(docs, "text", VOCAB))
 
 

@@ -13,13 +13,13 @@ from korrel.operators.chunks import ids_or_empty
 from korrel.ordering import ordinal, uniform
 from korrel.plans.corpus import lit, sql_strip
 from korrel.plans.tokens import joined
-from korrel.session import read
+from korrel.session import read, spread
 
 EOS, PAD = 1, 2
 
 
 def _items(spark: SparkSession, d: str) -> DataFrame:
-    return read(spark, d, "tokenized_examples").select("item_id", ids_or_empty("input_ids").alias("ids"))
+    return spread(read(spark, d, "tokenized_examples").select("item_id", ids_or_empty("input_ids").alias("ids")))
 
 
 def _losses(spark: SparkSession, d: str) -> DataFrame:
@@ -45,7 +45,7 @@ def causal_labels(spark: SparkSession, d: str) -> DataFrame:
 def nsp_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Each sentence with the next one (label 0), or for half of them with the first sentence of a drawn document of
     the same batch of 100 (label 1). The next sentence comes from the row's own array, so nothing is shuffled for it."""
-    docs = read(spark, d, "documents").filter("text is not null").select("doc_id", sentences("text").alias("s")).filter(F.size("s") > 0)
+    docs = spread(read(spark, d, "documents").filter("text is not null").select("doc_id", "text")).select("doc_id", sentences("text").alias("s")).filter(F.size("s") > 0)
     placed = ordinal(docs, ["doc_id"]).withColumn("batch", F.floor(F.col("pos") / 100)).withColumn("place", F.pmod("pos", F.lit(100)))
     total = docs.count()
     size = F.least(F.lit(100), F.lit(total) - F.col("batch") * 100)

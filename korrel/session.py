@@ -61,3 +61,10 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 50_000) -> DataFrame:
     chooses a shuffle join."""
     rows = df.select(F.lit(1)).limit(max_rows + 1).count()
     return F.broadcast(df) if rows <= max_rows else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores where a small input has fewer partitions than there are cores and much is computed on each
+    row; an input of many files is left as it is, so nothing is shuffled at scale."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -1,7 +1,7 @@
 """Keyword-stuffed and link-list pages.
 
 A page is cut into units (lines and sentences). A unit has clause structure if enough of its words are function words
-of the languages of the corpus. Of the units that have none, the page's suffix automaton tells which characters lie in
+of the languages of the corpus, tags aside; one whose words are mostly inside links has none. Of the units that have none, the page's suffix automaton tells which characters lie in
 repeated maximal substrings: for every prefix of the page, the longest suffix that occurs at least ``REPEATS`` times.
 A unit without clauses counts as stuffing if repeats cover it, or if it is made of links, tags, menu paths or prices.
 A page is found if more than half of its words are in such units.
@@ -43,6 +43,9 @@ FUNCTION_WORDS = frozenset(
 )
 _UNIT = re.compile(r"[^\n\r]+?(?:[.!?…]+(?=\s)|(?=[\n\r])|\Z)")
 _LINK = re.compile(r"https?://\S+|www\.\S+|<a\s[^>]*>|\[[\w.-]+\.\w{2,}\]", re.I)
+#: Link elements with their anchor texts, and bare links; tags of any kind.
+_ELEMENT = re.compile(r"<a\s[^>]*>(?:(?!</?a\b).)*</a\s*>|https?://\S+|www\.\S+", re.I | re.S)
+_MARKUP = re.compile(r"</?[a-z]\w*(?:\s[^<>]*)?/?>", re.I)
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
 _PATH = re.compile(r"\S\s*[>»›→|]\s*\S")
 _PRICE = re.compile(r"[€$£]\s?\d+|\d\s?(?:€|euro\b)|-\d+\s?%|\bSKU\b", re.I)
@@ -107,17 +110,32 @@ def covered(text: str, times: int = REPEATS, shortest: int = SHORTEST) -> np.nda
 
 
 def _clauses(unit: str) -> bool:
-    """Whether a unit is built like a sentence: enough function words among its words, outside links."""
-    words = [w.lower() for w in _WORD.findall(_LINK.sub(" ", unit))]
+    """Whether a unit is built like a sentence: enough function words among its words, outside links and tags."""
+    words = [w.lower() for w in _WORD.findall(_MARKUP.sub(" ", _LINK.sub(" ", unit)))]
     grammar = sum(w in FUNCTION_WORDS for w in words)
     if grammar == 1 and _PRICE.search(unit):  # an offer with a preposition in it
         return False
     return bool(words) and grammar >= max(1, CLAUSE * len(words))
 
 
+def _linked(text: str) -> np.ndarray:
+    """For each place (0..n) the number of words before it that lie inside links, less that of the others."""
+    inside, gain = np.zeros(len(text), bool), np.zeros(len(text) + 1, np.int64)
+    for m in _ELEMENT.finditer(text):
+        inside[m.start() : m.end()] = True
+    for m in re.finditer(r"\S+", text):
+        gain[m.start() + 1] = 1 if inside[m.start() : m.end()].any() else -1
+    return np.cumsum(gain)
+
+
 def stuffed_share(text: str) -> tuple[float, float]:
     """Share of the page's words in stuffed units, and share of its characters in clause-free units that repeats cover."""
     units = [(m.start(), m.end(), len(m.group().split()), _clauses(m.group())) for m in _UNIT.finditer(text)]
+    linked: set[int] = set()
+    if _ELEMENT.search(text):
+        gain = _linked(text)
+        linked = {a for a, b, _, _ in units if gain[b] > gain[a]}
+        units = [(a, b, n, clauses and a not in linked) for a, b, n, clauses in units]
     total = sum(n for _, _, n, _ in units)
     bare = [u for u in units if not u[3]]
     if total < MIN_WORDS or 2 * sum(n for _, _, n, _ in bare) <= total:
@@ -131,7 +149,7 @@ def stuffed_share(text: str) -> tuple[float, float]:
         links = sum(len(m.group().split()) for m in _LINK.finditer(unit)) + len(_TAG.findall(unit))
         marks = bool(_PRICE.search(unit)) or len(_LIST.findall(unit)) >= max(5, n / 4)
         repeats = hits / (b - a)
-        if everywhere or repeats >= COVERED or links * 3 >= n or links and _PATH.search(unit) or marks and (n >= 15 or repeats >= COVERED / 2):
+        if everywhere or a in linked or repeats >= COVERED or links * 3 >= n or links and _PATH.search(unit) or marks and (n >= 15 or repeats >= COVERED / 2):
             stuffed += n
     return stuffed / total, chars / len(text)
 

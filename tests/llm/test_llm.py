@@ -323,6 +323,14 @@ def test_stuffed_pages(spark):
     assert got == set(range(len(SPAM)))
 
 
+def test_pages_of_link_elements():
+    short = " ".join(f'<a href="https://a{i}b.example/x{i}">tandarts bestellen</a>' for i in range(12))
+    long_ = "\n".join(f'<li><a href="/x{i}.html">De beste tandarts van het land voor u en mij, nummer {i}? Nu ook in de stad</a></li>' for i in range(12))
+    assert stuffing.stuffed_share(short)[0] == 1 and stuffing.stuffed_share(long_)[0] == 1
+    proper = "<p>De patiënt werd opgenomen wegens pijn op de <b>borst</b> en is na <a href='/x'>drie dagen</a> ontslagen.</p> " * 12
+    assert stuffing.stuffed_share(proper)[0] == 0
+
+
 def test_core_does_not_import_llm():
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     for folder, _, names in os.walk(os.path.join(root, "korrel")):

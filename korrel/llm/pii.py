@@ -5,10 +5,8 @@ names. It runs over windows of ``WINDOW`` characters that overlap by ``OVERLAP``
 and the windows are reconciled over the whole text: a character takes its label from the window in which it is most
 central, and spans that continue across a seam are joined.
 
-Windows are laid over the passages that hold a trigger (a digit group, an at sign, a street word, a capital where no
-sentence begins, a title, initials, capitals throughout), with ``BEFORE`` and ``AFTER`` characters around them. Text without any
-trigger within reach cannot hold a mention of these kinds in the languages trained, and isn't tagged. A last exact check
-drops spans that lack what their kind must have (digits for numbers and addresses, an at sign for e-mail).
+The windows are laid over the whole of every text, without a gate before the tagger. A last exact check drops spans that
+lack what their kind must have (digits for numbers and addresses, an at sign for e-mail).
 
 Defined cases: null and empty texts have no mentions; existing placeholders are left alone; repeated rows are tagged
 each; texts of any length are read whole.
@@ -28,118 +26,15 @@ from pyspark.sql import functions as F
 from korrel.llm.tagger import KINDS, LABELS, BiLstmCrf, encode
 
 WEIGHTS = os.path.join(os.path.dirname(__file__), "pii_weights.npz")
-WINDOW, OVERLAP, BEFORE, AFTER, BATCH = 160, 64, 30, 24, 512
-#: Street words and titles, fixed values in natural order.
-STREETS = "straat|laan|kade|dreef|pad|plein|hof|singel|steeg|weg|gracht|park|markt|straße|strasse|gasse|platz|allee|street|road|lane|avenue|str|pln"
-TITLES = ("dr.", "Dr.", "drs.", "Mw", "Mevr", "Dhr", "mw", "mevr", "dhr", "Mrs", "Frau")
-_STREET_ENDS = tuple(STREETS.split("|"))
-_DATE = re.compile(r"\D*(?:\d{1,2}[-/.]\d{1,2}[-/.]\d{4}|\d{4}-\d\d-\d\d)(?!\d)")
+WINDOW, OVERLAP, BATCH = 160, 64, 512
 _DIGIT = re.compile(r"\d")
 _AT = re.compile(r"@|[(\[{]\s*(?:at|apenstaartje|æ)\s*[)\]}]|\bat\b", re.I)
 _LETTERS = re.compile(r"[^\W\d_]{2,}")
 _PLACEHOLDER = re.compile(r"\[[A-Z_]+\]|\|\|\|[A-Z_]+\|\|\|?|<[A-Z_]+>")
 
 
-def _within(flags: np.ndarray, width: int, least: int) -> np.ndarray:
-    """Starts of the windows of a width that hold at least so many flags."""
-    total = np.r_[0, np.cumsum(flags, dtype=np.int32)]
-    if len(flags) < width:
-        return np.arange(1) if total[-1] >= least else np.arange(0)
-    return np.flatnonzero((total[width:] - total[:-width] >= least) & flags[: len(flags) - width + 1])
-
-
-def _behind_street(tail: str) -> bool:
-    """Whether the text before a number ends in a street word, perhaps with nr. or no. between."""
-    tail = tail.lower().rstrip(" .,\n")
-    if tail.endswith((" nr", " no")):
-        tail = tail[:-3].rstrip(" .,")
-    return tail.endswith(_STREET_ENDS)
-
-
-def triggers(code: np.ndarray, text: str) -> np.ndarray:
-    """Places near which a mention may be: at signs, digit groups that are no dates, numbers behind street words,
-    titles, initials, capitalised words that begin no sentence, codes of capitals and digits, capitals throughout."""
-    n = len(code)
-    digit, upper = (code >= 48) & (code <= 57), (code >= 65) & (code <= 90) | (code == 2)
-    lower, space = (code >= 97) & (code <= 122) | (code == 1), (code == 32) | (code == 10)
-    at = lambda flags, k: np.r_[np.zeros(-k, bool), flags[:k]] if k < 0 else np.r_[flags[k:], np.zeros(k, bool)]
-    found = [np.flatnonzero(code == 64)]
-    found.append(np.flatnonzero(((code == 91) | (code == 40) | (code == 123)) & at((code == 97) | (code == 65), 1) & at((code == 116) | (code == 84), 2) & ~at(lower | upper, 3)))
-    groups = _within(digit, 16, 7)
-    letters = np.r_[0, np.cumsum(lower | upper, dtype=np.int32)]
-    groups = groups[~at(digit, -1)[groups] & (letters[np.minimum(groups + 8, n)] == letters[groups])]
-    found.append(np.array([g for g in groups.tolist() if not (_DATE.match(text, g, g + 14) and not _DIGIT.search(text, g + 10, g + 16))], np.int64))
-    found.append(np.flatnonzero(_runs(digit | upper, digit)))
-    edge = np.diff(np.r_[0, digit.astype(np.int8), 0])
-    first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    found.append(first[last - first >= 7])
-    numbers = np.flatnonzero(digit & at(space, -1) & (at(lower | upper, -2) | at((code == 46) | (code == 44), -2)))
-    found.append(np.array([p for p in numbers.tolist() if _behind_street(text[max(0, p - 24) : p])], np.int64))
-    for word in TITLES:
-        place, hits = text.find(word), []
-        while place >= 0:
-            end = place + len(word)
-            if (place == 0 or not (lower | upper)[place - 1]) and end < n and (space[end] or text[end] == "."):
-                hits.append(end)
-            place = text.find(word, end)
-        found.append(np.array(hits, np.int64))
-    place, hits = text.find("rue"), []
-    while place >= 0:
-        if place > 2 and space[place - 1] and (digit[place - 2] or digit[place - 3] or lower[place - 2]):
-            hits.append(place)
-        place = text.find("rue ", place + 3)
-    found.append(np.array(hits, np.int64))
-    start = upper & ~at(lower | upper | digit, -1)
-    found.append(np.flatnonzero(start & at(code == 46, 1) & (at(upper, 2) | at(space, 2) & (at(upper, 3) | at(code == 118, 3)))))
-    inner = at(lower | digit, -2) | at((code == 44) | (code == 59) | (code == 41) | (code == 93) | (code == 38), -2) | at(upper, -2)
-    found.append(np.flatnonzero(start & at(lower, 1) & at(lower, 2) & at(code == 32, -1) & inner))
-    found.append(np.flatnonzero(start & at(lower, 1) & at(code == 45, -1) & at(lower, -2)))
-    word = start & at(lower, 1) & at(lower, 2) & at(lower, 3) & at(lower, 4) & at(lower, 5)
-    found.append(np.flatnonzero(word & at(code == 32, -1) & at(code == 58, -2)))
-    found.append(np.flatnonzero((code == 44) & at(upper, -1) & at(upper, -2) & at(upper, -3) & at(upper, 2) & at(code == 46, 3)))
-    commas = np.flatnonzero((code == 44) & at(lower, -1) & at(lower, -4) & at(code == 32, 1))
-    found.append(_starts_upper(commas, lower, start))
-    found.append(_within(upper, 20, 13))
-    return np.unique(np.concatenate(found)) if n else np.empty(0, np.int64)
-
-
-def _runs(both: np.ndarray, digit: np.ndarray) -> np.ndarray:
-    """Starts of runs of seven or more capitals and digits that hold at least four digits and a capital."""
-    edge = np.diff(np.r_[0, both.astype(np.int8), 0])
-    first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    total = np.r_[0, np.cumsum(digit)]
-    digits = total[last] - total[first]
-    out = np.zeros(len(both), bool)
-    out[first[(last - first >= 7) & (digits >= 4) & (digits < last - first)]] = True
-    return out
-
-
-def _starts_upper(ends: np.ndarray, lower: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Starts of capitalised words that end at the given places."""
-    if not len(ends):
-        return ends
-    index = np.arange(len(lower))
-    begin = np.maximum.accumulate(np.where(~lower, index, 0))[ends - 1]  # the last character that isn't a small letter
-    return begin[start[begin]]
-
-
-def passages(texts: list[str | None]) -> list[tuple[int, int, int, np.ndarray]]:
-    """(text, start, end, classes) of the merged stretches around the triggers of all texts."""
-    whole = "\n".join([*(t or "" for t in texts), "\n" * 32])  # room to look ahead from the last character
-    code = encode(whole)
-    begin = np.r_[0, np.cumsum([len(t or "") + 1 for t in texts])]
-    hits = triggers(code, whole)
-    if not len(hits):
-        return []
-    owner = np.searchsorted(begin, hits, side="right") - 1
-    a, b = np.maximum(hits - BEFORE, begin[owner]), np.minimum(hits + AFTER, begin[owner + 1] - 1)
-    fresh = np.flatnonzero(np.r_[True, (a[1:] > np.maximum.accumulate(b)[:-1]) | (owner[1:] != owner[:-1])])
-    ends = np.r_[fresh[1:] - 1, len(a) - 1]
-    return [(int(owner[i]), int(a[i] - begin[owner[i]]), int(b[j] - begin[owner[i]]), code[a[i] : b[j]]) for i, j in zip(fresh.tolist(), ends.tolist())]
-
-
 def windows(a: int, b: int) -> list[tuple[int, int]]:
-    """Windows of one passage, with overlaps."""
+    """Windows of the stretch [a, b), with overlaps."""
     if b - a <= WINDOW:
         return [(a, b)]
     starts = list(range(a, b - WINDOW, WINDOW - OVERLAP))
@@ -162,7 +57,7 @@ def _sound(kind: str, part: str) -> bool:
 
 
 def spans_of(labels: np.ndarray, text: str, offset: int) -> list[tuple[int, int, str]]:
-    """Spans of a passage's labels: runs of one kind; a B- begins a new one."""
+    """Spans of the labels of a stretch that starts at offset: runs of one kind; a B- begins a new one."""
     if not labels.any():
         return []
     kind = (labels + 1) // 2
@@ -201,25 +96,25 @@ class Finder:
     def find(self, texts: list[str | None]) -> list[list[tuple[int, int, str]]]:
         """(start, end, kind) of the mentions of each text."""
         places, parts = [], []
-        for n, a, b, codes in passages(texts):
-            for s, e in windows(a, b):
-                places.append((n, a, b, s, e))
-                parts.append(codes[s - a : e - a])
+        for n, t in enumerate(texts):
+            codes = encode(t or "")
+            for s, e in windows(0, len(codes)):
+                places.append((n, s, e))
+                parts.append(codes[s:e])
         labels = self.label(parts)
-        out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
+        out: list[list[tuple[int, int, str]]] = []
         i = 0
-        while i < len(places):
-            n, a, b = places[i][:3]
+        for n, t in enumerate(texts):
             j = i
-            while j < len(places) and places[j][:3] == (n, a, b):
+            while j < len(places) and places[j][0] == n:
                 j += 1
-            whole = np.zeros(b - a, np.int64)
+            whole = np.zeros(len(t or ""), np.int64)
             for q in range(i, j):  # the seam between two windows lies in the middle of their overlap
-                s, e = places[q][3:]
-                left = a if q == i else (places[q - 1][4] + s) // 2
-                right = b if q == j - 1 else (e + places[q + 1][3]) // 2
-                whole[left - a : right - a] = labels[q][left - s : right - s]
-            out[n] += spans_of(whole, texts[n], a)
+                s, e = places[q][1:]
+                left = 0 if q == i else (places[q - 1][2] + s) // 2
+                right = len(whole) if q == j - 1 else (e + places[q + 1][1]) // 2
+                whole[left:right] = labels[q][left - s : right - s]
+            out.append(spans_of(whole, t, 0) if t else [])
             i = j
         return out
 

@@ -2,7 +2,8 @@
 
 Labelled spans come from two places. Texts of the given directories are labelled by the patterns below, which know the
 forms of numbers, streets and addresses and the phrases in which a person or an eponym stands; a bounded sample
-(``SAMPLE`` windows) is used. In half of the windows, first names and surnames are exchanged for made-up ones, so that
+(``SAMPLE`` windows) is used. The windows are laid over whole texts, as in pii.py: all that hold a span are taken, and of
+the others a share (``BARE``) and, with --from, those in which the old weights see what the labels do not. In half of the windows, first names and surnames are exchanged for made-up ones, so that
 the tagger learns forms and contexts rather than a list of names. The held-out accuracy is printed by kind.
 """
 
@@ -14,6 +15,7 @@ import random
 import re
 import sys
 import time
+from multiprocessing import Pool
 
 import numpy as np
 
@@ -21,6 +23,7 @@ from korrel.llm import pii
 from korrel.llm.tagger import KINDS, LABELS, BiLstmCrf, encode
 
 SAMPLE, HIDDEN, LENGTH, SEED = 30_000, 32, 112, 7
+BARE = 0.06
 EMAIL = re.compile(r"[\w.+-]+ ?(?:@|\(at\)|\[at\]) ?[\w-]+(?:(?:\.|\[punt\]|\(punt\)|\[dot\]|\(dot\))[\w-]+)+")
 PHONE = re.compile(r"(?<![\w.+-])(?:\+\d\d ?\(?\d?\)?[\d -]{8,12}\d|00\d\d-\d-\d{8}|\d\d-\d{8}|\d\d(?: \d\d){4}|\d\d\.\d\d\.\d{3}\.\d{3}|\(\d{3}\) \d{3}(?:-\d{4}| \d\d \d\d)|\d{3} - \d{7}|0\d{9})(?![\w-]|\.\d)")
 IDNUM = re.compile(r"(?<![\w.-])(?:\d{9}|\d{3} \d{3} \d{3}|\d{4}-\d{5}|\d{4}\.\d\d\.\d{3}|\d{7}|\d{3}\.\d{4}|[A-Z]\d{8}|[A-Z]{2}[A-Z\d]{6}\d)(?![\w-]|\.\d)")
@@ -127,27 +130,41 @@ def label_ids(length: int, spans: list[tuple[int, int, str]]) -> np.ndarray:
     return y
 
 
-def windows_of(texts: list[str], labeller: Labeller, rng: random.Random, limit: int) -> tuple[np.ndarray, np.ndarray]:
+def _seen(args: tuple[str, list[str]]) -> list[list[tuple[int, int, str]]]:
+    return pii.finder(args[0]).find(args[1])
+
+
+def strays(texts: list[str], labeller: Labeller, begin: str) -> dict[str, list[int]]:
+    """Places in each text at which the old weights see a span that overlaps no label of its kind."""
+    parts = [texts[i : i + 200] for i in range(0, len(texts), 200)]
+    with Pool() as pool:
+        seen = [s for part in pool.map(_seen, [(begin, p) for p in parts], chunksize=1) for s in part]
+    out = {}
+    for t, found in zip(texts, seen):
+        spans = labeller.spans(t) if found else []
+        out[t] = [a for a, b, k in found if not any(s < b and e > a and k == kind for s, e, kind in spans)]
+    return out
+
+
+def windows_of(texts: list[str], labeller: Labeller, rng: random.Random, limit: int, stray: dict[str, list[int]]) -> tuple[np.ndarray, np.ndarray]:
     xs, ys = [], []
     for t in texts:
         if len(xs) >= limit:
             break
         spans = labeller.spans(t)
-        if rng.random() < 0.5:
+        odd = stray.get(t, [])
+        if not odd and rng.random() < 0.5:
             t, spans = exchange(t, spans, set(labeller.names), rng)
         y, x = label_ids(len(t), spans), encode(t)
-        for _, a, b, _ in pii.passages([t]):
-            if not any(s < b and e > a for s, e, _ in spans) and rng.random() > 0.5:
+        for s in range(-rng.randint(0, 31), len(t), LENGTH - 32):
+            s, e = max(s, 0), min(max(s, 0) + LENGTH, len(t))
+            held = any(a < e and b > s for a, b, _ in spans) or any(s <= a < e for a in odd)
+            if not held and rng.random() > BARE:
                 continue
-            start = max(0, a - rng.randint(0, 10))
-            for s in range(start, b, LENGTH - 32):
-                e = min(s + LENGTH, max(b, s + 1))
-                wx, wy = np.zeros(LENGTH, np.int16), np.zeros(LENGTH, np.int8)
-                wx[: e - s], wy[: e - s] = x[s:e], y[s:e]
-                xs.append(wx)
-                ys.append(wy)
-                if e >= b:
-                    break
+            wx, wy = np.zeros(LENGTH, np.int16), np.zeros(LENGTH, np.int8)
+            wx[: e - s], wy[: e - s] = x[s:e], y[s:e]
+            xs.append(wx)
+            ys.append(wy)
     return np.array(xs[:limit]), np.array(ys[:limit])
 
 
@@ -205,10 +222,12 @@ def main(args: list[str]) -> None:
     print(len(texts), "texts;", len(labeller.names), "first names", flush=True)
     held, rest = [t for t, _ in texts[: len(texts) // 20]], texts[len(texts) // 20 :]
     groups = ([t for t, k in rest if k not in ("nl", "report")], [t for t, k in rest if k == "nl"], [t for t, k in rest if k == "report"])
-    parts = [windows_of(g, labeller, rng, SAMPLE // 3) for g in groups]
+    begin = args[args.index("--from") + 1] if "--from" in args else None
+    stray = strays([t for g in groups for t in g], labeller, begin) if begin else {}
+    parts = [windows_of(g, labeller, rng, SAMPLE // 3, stray) for g in groups]
     x, y = (np.concatenate(z) for z in zip(*[p for p in parts if len(p[0])]))
     print(len(x), "windows;", {LABELS[i]: int((y == i).sum()) for i in range(len(LABELS))}, flush=True)
-    model = train(x, y, seconds, args[args.index("--from") + 1] if "--from" in args else None)
+    model = train(x, y, seconds, begin)
     model.save(out)
     tag = pii.Finder(out)
     hit: dict[str, list[int]] = {k: [0, 0, 0] for k in KINDS}

@@ -94,6 +94,24 @@ def test_pii_windows_cover_and_reconcile():
     assert sum(k == "phone" for *_, k in spans) == 40
 
 
+@pytest.mark.parametrize("text, name", [("The agreement was good with κ = 0.63. Mr. Hemstehorst was seen at the clinic.", "Hemstehorst"), ("Pain was stable. Mr. Kampelbaan was seen at the clinic.", "Kampelbaan"), ("Geen afwijkingen.\nT.a.v. Wensello", "Wensello")])
+def test_names_at_the_start_of_a_sentence(text, name):
+    assert any(k == "name" and name in text[a:b] for a, b, k in pii.finder().find([text])[0])
+
+
+def test_tagger_reads_whole_texts():
+    seen = []
+
+    class Spy(pii.Finder):
+        def label(self, encoded):
+            seen.extend(len(e) for e in encoded)
+            return super().label(encoded)
+
+    text = "geen bijzonderheden bij dit onderzoek " * 20
+    Spy().find([text, None, ""])
+    assert sum(seen) >= len(text)
+
+
 def test_crf_decode_is_the_best_path():
     rng = np.random.default_rng(1)
     model = BiLstmCrf.fresh(4, 1)

@@ -2,7 +2,9 @@
 
 Every position has a boundary strength. A sparse table answers "strongest boundary in this window, the rightmost of
 equals" in O(1): level j holds the winner of each window of length 2^j, and any window is covered by two of them. A
-piece that starts at s may end in [s + limit/2, s + limit]; the next one starts exactly ``overlap`` before that end.
+piece that starts at s ends in [s + limit/2, s + limit], or, where there is no boundary, at the strongest one in
+(s + overlap, s + limit/2), and is cut hard at the limit only if there is none either; the next one starts exactly
+``overlap`` before that end.
 
 Defined cases: items within the limit, null and empty ones give no piece; a text without any boundary is cut at the
 limit; repeated rows are split each on their own; extra columns are dropped.
@@ -81,10 +83,13 @@ def cut_points(strength: np.ndarray, limit: int, overlap: int) -> list[tuple[int
         raise ValueError("overlap must be less than the limit")
     n = len(strength) - 1
     least = min(limit, max(overlap + 1, limit // 2))
-    table = StrongestCut(strength, limit - least + 1) if n > limit else None
+    table = StrongestCut(strength, max(limit - least + 1, least - overlap)) if n > limit else None
     start, out = 0, []
     while n - start > limit:
         end = table.query(start + least, start + limit)
+        if not strength[end] and least > overlap + 1:
+            early = table.query(start + overlap + 1, start + least - 1)
+            end = early if strength[early] else end
         out.append((start, end))
         start = end - overlap
     return [*out, (start, n)] if n else out

@@ -171,6 +171,15 @@ def test_cut_prefers_paragraphs_then_sentences():
     assert split.cut_points(split.text_strength(text), 3000, 200)[0][1] == 2002
 
 
+def test_boundary_in_the_first_half_is_taken():
+    text = "woord " * 123 + "x" * 2538 + " " + "nog " * 300
+    assert split.cut_points(split.text_strength(text), 3000, 200)[0] == (0, 738)
+    ids = np.full(900, 5)
+    ids[99] = 13
+    assert split.cut_points(split.id_strength(ids), 512, 64)[0] == (0, 100)
+    assert split.cut_points(split.text_strength("a " * 50 + "x" * 5000), 3000, 200)[0] == (0, 3000)
+
+
 def test_split_edges(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "x" * 3000), (4, "y" * 3001)], "doc_id bigint, text string")
     assert {r.rec_id for r in split.split_texts(df).collect()} == {4}

@@ -119,13 +119,32 @@ def hash_numbered(df: DataFrame, key: str, source: str) -> DataFrame:
     return hash_ordinal(df.filter(F.col(source).isNotNull()), "interleave", [key], "k", groups=[source])
 
 
-def weighted_interleave(df: DataFrame, key: str, source: str, weights: dict[str, float], slots: int, seed: object = 42) -> DataFrame:
+def weighted_interleave(df: DataFrame, key: str, source: str, weights: dict[str, float], slots: int | None = None, seed: object = 42) -> DataFrame:
     """Slot i draws a source by its weight from a hash of i; the draw stops before the first slot whose source is used
-    up. Weights are normalised; a sum of 0 or less, and sources without a weight, are errors of the caller."""
+    up. Without a number of slots it goes on until that happens. Weights are normalised; a sum of 0 or less, and sources without
+    a weight, are errors of the caller."""
     total = sum(weights.values())
     if total <= 0:
         raise ValueError("weights must sum to more than 0")
     spark = df.sparkSession
+    have = df.filter(F.col(source).isNotNull()).groupBy(source).agg(F.count(F.lit(1)).alias("__have"))
+    if slots is None:
+        held = {r[source]: r["__have"] for r in have.filter(F.col(source).isin(*weights)).collect()}
+        tried = int(min(held.get(name, 0) * total / w for name, w in weights.items() if w > 0)) + 1024
+        while True:  # the expected end of the first source; more slots where the draw has not used one up by then
+            taken, ended = _drawn(spark, have, source, weights, tried, seed)
+            if ended:
+                break
+            tried *= 2
+    else:
+        taken, _ = _drawn(spark, have, source, weights, slots, seed)
+    return taken.join(hash_numbered(df, key, source), [source, "k"])
+
+
+def _drawn(spark, have: DataFrame, source: str, weights: dict[str, float], slots: int, seed: object) -> tuple[DataFrame, bool]:
+    """slot, source and number within the source of the slots before the first whose source is used up, and whether
+    there is such a slot."""
+    total = sum(weights.values())
     draws = spark.range(slots).withColumn("u", uniform(seed, F.col("id")))
     pick, edge = F.lit(None).cast("string"), 1.0
     for name, w in reversed(sorted(weights.items())):
@@ -133,10 +152,9 @@ def weighted_interleave(df: DataFrame, key: str, source: str, weights: dict[str,
         edge -= w / total
     drawn = ordinal(draws.select(F.col("id").alias("slot"), pick.alias(source)), ["slot"], "__p")
     by = hash_free_number(drawn, "slot", source)
-    have = df.filter(F.col(source).isNotNull()).groupBy(source).agg(F.count(F.lit(1)).alias("__have"))
     short = by.join(have, source, "left").filter(F.col("k") >= F.coalesce("__have", F.lit(0))).agg(F.min("slot").alias("s")).collect()[0]["s"]
     taken = by if short is None else by.filter(F.col("slot") < short)
-    return taken.select("slot", source, "k").join(hash_numbered(df, key, source), [source, "k"])
+    return taken.select("slot", source, "k"), short is not None
 
 
 def hash_free_number(df: DataFrame, order: str, source: str) -> DataFrame:

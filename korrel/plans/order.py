@@ -132,10 +132,20 @@ def interleave_equal(spark: SparkSession, d: str) -> DataFrame:
 
 
 def interleave_weighted(spark: SparkSession, d: str) -> DataFrame:
+    """The first 60 slots of three sources, as its SQL has it; interleave_weighted_whole has no limit."""
     docs = _keys(spark, d).filter(F.col("source").isin(*WEIGHTS)).select("doc_id", "source")
     return s.weighted_interleave(docs, "doc_id", "source", WEIGHTS, 60).select("slot", "source", "doc_id")
 
 
+def interleave_weighted_whole(spark: SparkSession, d: str) -> DataFrame:
+    """All sources, weighted by their documents, until the first one is used up."""
+    docs = _keys(spark, d).filter("source is not null").select("doc_id", "source")
+    weights = {r["source"]: float(r["count"]) for r in docs.groupBy("source").count().collect()}
+    if not weights:
+        return docs.select(F.lit(0).cast("bigint").alias("slot"), "source", "doc_id")
+    return s.weighted_interleave(docs, "doc_id", "source", weights).select("slot", "source", "doc_id")
+
+
 def global_ordinal(spark: SparkSession, d: str) -> DataFrame:
     """Ordinal in an order of several keys, nulls first."""
     return ordinal(_keys(spark, d).select("source", "split", "doc_id"), ["source", "split", "doc_id"])
@@ -159,7 +169,7 @@ def _windowed(source: str, it: int) -> str:
 _SAMPLER = f"""o as (select doc_id, row_number() over (order by {_MD5(3, 'doc_id')}, doc_id) - 1 as pos from documents), n as (select count(*) as n from documents)"""
 _PICK = "case " + " ".join(f"when u >= {e} then '{n}'" for e, n in ((0.5, "richtlijn_mt"), (0.2, "bijsluiter_eu"), (0.0, "abstract_en"))) + " end"
 
-QUERIES = {f.__name__: f for f in (full_shuffle, shuffle_all_splits, windowed_shuffle, windowed_shuffle_twice, merge_and_shuffle, block_buffer_shuffle, reservoir_shuffle, file_order, two_level_stream, shard_strided, shard_contiguous, file_ntile_split, fixed_partitions, distributed_sampler, distributed_sampler_drop_last, batch_keep_last, batch_drop_last, sample_hundred, head_rows, lockstep_steps, train_val_percent, split_load, interleave_equal, interleave_weighted, global_ordinal, steps_per_epoch, uniform_draws)}
+QUERIES = {f.__name__: f for f in (full_shuffle, shuffle_all_splits, windowed_shuffle, windowed_shuffle_twice, merge_and_shuffle, block_buffer_shuffle, reservoir_shuffle, file_order, two_level_stream, shard_strided, shard_contiguous, file_ntile_split, fixed_partitions, distributed_sampler, distributed_sampler_drop_last, batch_keep_last, batch_drop_last, sample_hundred, head_rows, lockstep_steps, train_val_percent, split_load, interleave_equal, interleave_weighted, interleave_weighted_whole, global_ordinal, steps_per_epoch, uniform_draws)}
 SQL = {
     "full_shuffle": f"""select doc_id, split, row_number() over (order by {_MD5(42, 'doc_id')}, doc_id) - 1 as pos from documents where split = 'train'
         union all select doc_id, split, row_number() over (order by doc_id) - 1 from documents where split is null or split <> 'train'""",

@@ -1,5 +1,6 @@
 """Operators against small Python models, and the quirks that the design decided on."""
 
+import hashlib
 import random
 from collections import Counter
 
@@ -93,6 +94,18 @@ def test_weighted_interleave_errors(spark):
         s.weighted_interleave(df, "k", "source", {"a": 0.0}, 5)
 
 
+def test_weighted_interleave_ends_by_exhaustion(spark):
+    rows = [(i, "a" if i % 3 else "b") for i in range(1200)]
+    got = s.weighted_interleave(spark.createDataFrame(rows, "item bigint, source string"), "item", "source", {"a": 3.0, "b": 1.0}).orderBy("slot").collect()
+    digest = lambda text: hashlib.md5(text.encode()).hexdigest()
+    left = {name: sorted((k for k, n in rows if n == name), key=lambda k: (digest(f"interleave:{k}"), k)) for name in "ab"}
+    want, slot = [], 0
+    while left[name := "a" if int(digest(f"42:{slot}")[:8], 16) / 2**32 < 0.75 else "b"]:
+        want.append((slot, name, left[name].pop(0)))
+        slot += 1
+    assert len(want) > 60 and [(x.slot, x.source, x["item"]) for x in got] == want
+
+
 def test_lockstep():
     assert s.lockstep_limit({0: 17, 1: 33}, 8) == 2
     assert s.lockstep_limit({}, 8) == 0

@@ -358,6 +358,16 @@ def test_pages_of_link_elements():
     assert stuffing.stuffed_share(proper)[0] == 0
 
 
+def test_failing_import_is_seen(monkeypatch):
+    import sys
+
+    import __spark_entry__
+
+    monkeypatch.setitem(sys.modules, "korrel.llm.queries", None)
+    with pytest.raises(ImportError):
+        __spark_entry__.queries()
+
+
 def test_core_does_not_import_llm():
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     for folder, _, names in os.walk(os.path.join(root, "korrel")):

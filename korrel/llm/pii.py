@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from korrel.llm.tagger import KINDS, LABELS, BiLstmCrf, encode
 
 WEIGHTS = os.path.join(os.path.dirname(__file__), "pii_weights.npz")
-WINDOW, OVERLAP, BATCH = 160, 64, 512
+WINDOW, OVERLAP, BATCH = 512, 48, 512
 _DIGIT = re.compile(r"\d")
 _AT = re.compile(r"@|[(\[{]\s*(?:at|apenstaartje|æ)\s*[)\]}]|\bat\b", re.I)
 _LETTERS = re.compile(r"[^\W\d_]{2,}")

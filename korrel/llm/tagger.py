@@ -1,7 +1,9 @@
 """Character-level bidirectional LSTM with CRF transitions, in numpy.
 
-One direction's input projection is a table lookup, because the inputs are characters; a step is one small matrix
-product for a batch of windows. Weights are trained by ``train_pii.py`` from labelled spans and kept in one .npz file.
+Arrays are laid out features x batch, so that the gates of a step are contiguous blocks and one step is one matrix
+product: its input is the last state over the character's embedding over a row of ones, and its rows are the four gates
+and, for the state that went in, the CRF scores. Weights are trained by ``train_pii.py`` from labelled spans and kept in
+one .npz file.
 """
 
 from __future__ import annotations
@@ -17,17 +19,17 @@ _PLAIN = 128
 
 
 def _char_table() -> np.ndarray:
-    """Class of every code point below 0x3000: ASCII as it is, accented letters as their base letter, the rest by
-    category. Class 0 pads."""
+    """Class of every code point below 0x3000: ASCII as it is but all digits as one, accented letters as their base
+    letter, the rest by category. Class 0 pads."""
     table = np.full(0x3000, 127, np.int16)
     for c in range(0x3000):
         ch = chr(c)
         if c < 127:
-            table[c] = c if c >= 32 else (10 if ch in "\n\r" else 32 if ch == "\t" else 127)
+            table[c] = 48 if ch.isdigit() else c if c >= 32 else (10 if ch in "\n\r" else 32 if ch == "\t" else 127)
         else:
             base = unicodedata.normalize("NFKD", ch)[:1]
             if base and base.isascii() and base.isprintable():
-                table[c] = ord(base)
+                table[c] = 48 if base.isdigit() else ord(base)
             elif ch.isspace():
                 table[c] = 32
             elif ch.isalpha():
@@ -49,28 +51,24 @@ def encode(text: str) -> np.ndarray:
     return TABLE[np.minimum(code, 0x2FFF)]
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-
-
 class BiLstmCrf:
-    """Parameters by name: for each direction f, b: E* (classes × 4H), U* (H × 4H); output W, c; CRF T, start."""
+    """Parameters by name: emb (classes x E); for each direction f, b: W* (4H x (H + E + 1)), gates in the order input,
+    forget, output, cell; O* (K x H); c (K); CRF T (K x K) and start (K)."""
 
     def __init__(self, params: dict[str, np.ndarray]) -> None:
         self.p = {k: np.ascontiguousarray(v, np.float32) for k, v in params.items()}
-        self.hidden = self.p["Uf"].shape[0]
+        self.hidden, self.width = self.p["Wf"].shape[0] // 4, self.p["emb"].shape[1]
 
     @classmethod
-    def fresh(cls, hidden: int, seed: int = 0) -> BiLstmCrf:
+    def fresh(cls, hidden: int, width: int = 16, seed: int = 0) -> BiLstmCrf:
         rng = np.random.default_rng(seed)
         k, h = len(LABELS), hidden
-        p = {}
+        p = {"emb": rng.normal(0, 0.7, (_PLAIN, width)), "c": np.zeros(k), "T": np.zeros((k, k)), "start": np.zeros(k)}
         for d in "fb":
-            p["E" + d] = rng.normal(0, 0.3, (_PLAIN, 4 * h))
-            p["E" + d][:, h : 2 * h] += 0.5
-            p["U" + d] = rng.normal(0, 1 / np.sqrt(h), (h, 4 * h))
-        p["W"], p["c"] = rng.normal(0, 1 / np.sqrt(2 * h), (2 * h, k)), np.zeros(k)
-        p["T"], p["start"] = np.zeros((k, k)), np.zeros(k)
+            p["W" + d] = rng.normal(0, 1 / np.sqrt(h + width), (4 * h, h + width + 1))
+            p["W" + d][:, -1] = 0
+            p["W" + d][h : 2 * h, -1] = 1
+            p["O" + d] = rng.normal(0, 1 / np.sqrt(2 * h), (k, h))
         return cls(p)
 
     @classmethod
@@ -81,130 +79,200 @@ class BiLstmCrf:
     def save(self, path: str) -> None:
         np.savez_compressed(path, **{k: v.astype(np.float16) for k, v in self.p.items()})
 
-    def _direction(self, x: np.ndarray, d: str, keep: list | None = None) -> np.ndarray:
-        """Hidden states (T, B, H) of one direction over class ids (T, B)."""
-        table, u, h = self.p["E" + d], self.p["U" + d], self.hidden
-        steps, batch = x.shape
-        out = np.empty((steps, batch, h), np.float32)
-        state, cell = np.zeros((batch, h), np.float32), np.zeros((batch, h), np.float32)
-        for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
-            z = table[x[t]]
-            z += state @ u
-            # The sigmoid of the first three gates is taken as a half tanh, so that one call serves all four.
-            z[:, : 3 * h] *= 0.5
-            np.tanh(z, out=z)
-            z[:, : 3 * h] += 1
-            z[:, : 3 * h] *= 0.5
-            i, f, o, g = z[:, :h], z[:, h : 2 * h], z[:, 2 * h : 3 * h], z[:, 3 * h :]
-            if keep is not None:
-                keep.append((t, z, state, cell))
-            cell = f * cell + i * g
-            state = o * np.tanh(cell)
-            out[t] = state
+    def _inputs(self, x: np.ndarray) -> np.ndarray:
+        """Embeddings (E, T, B) of class ids (T, B)."""
+        out = np.empty((self.width, *x.shape), np.float32)
+        for row, column in zip(np.ascontiguousarray(self.p["emb"].T), out):
+            np.take(row, x, out=column, mode="clip")
         return out
 
+    def _halved(self, d: str) -> np.ndarray:
+        """Weights of a direction with the three sigmoid gates halved: sigmoid(z) is (tanh(z / 2) + 1) / 2, so one call
+        of tanh serves all four gates."""
+        w = self.p["W" + d].copy()
+        w[: 3 * self.hidden] *= 0.5
+        return w
+
     def emissions(self, x: np.ndarray) -> np.ndarray:
-        """Scores (T, B, K) of class ids (T, B)."""
-        both = np.concatenate([self._direction(x, "f"), self._direction(x, "b")], 2)
-        return both @ self.p["W"] + self.p["c"]
+        """Scores (T, K, B) of class ids (T, B)."""
+        steps, batch = x.shape
+        h, k = self.hidden, len(LABELS)
+        inputs = self._inputs(x)
+        scores = np.empty((steps, k, batch), np.float32)
+        scores[:] = self.p["c"][:, None]
+        th = np.empty((h, batch), np.float32)
+        z = np.empty((4 * h + k, batch), np.float32)
+        i, f, o, g, emitted = z[:h], z[h : 2 * h], z[2 * h : 3 * h], z[3 * h : 4 * h], z[4 * h :]
+        gates, sigmoids = z[: 4 * h], z[: 3 * h]
+        for d in "fb":
+            out = np.zeros((k, h + self.width + 1), np.float32)
+            out[:, :h] = self.p["O" + d]
+            w = np.concatenate([self._halved(d), out])
+            buffer = np.zeros((h + self.width + 1, batch), np.float32)
+            buffer[-1] = 1
+            state, fed, cell = buffer[:h], buffer[h:-1], np.zeros((h, batch), np.float32)
+            order = range(steps) if d == "f" else range(steps - 1, -1, -1)
+            last = None
+            for t in order:
+                fed[:] = inputs[:, t]
+                np.dot(w, buffer, out=z)
+                if last is not None:
+                    scores[last] += emitted
+                last = t
+                np.tanh(gates, out=gates)
+                np.multiply(sigmoids, 0.5, out=sigmoids)
+                np.add(sigmoids, 0.5, out=sigmoids)
+                np.multiply(cell, f, out=cell)
+                np.multiply(i, g, out=i)
+                np.add(cell, i, out=cell)
+                np.tanh(cell, out=th)
+                np.multiply(o, th, out=state)
+            if last is not None:
+                scores[last] += self.p["O" + d] @ state
+        return scores
 
-    def decode(self, scores: np.ndarray) -> np.ndarray:
-        """Best label path (T, B) under the CRF transitions."""
-        steps, batch, k = scores.shape
+    def decode(self, scores: np.ndarray, first: np.ndarray | None = None, end: np.ndarray | None = None) -> np.ndarray:
+        """Best label path (T, B) of scores (T, K, B) under the CRF transitions; ``first`` is added to the scores of the
+        first place (the start scores, if None), ``end`` to those of the last."""
+        steps, k, batch = scores.shape
         move = self.p["T"] + _FORBIDDEN
-        best = np.empty((steps, batch, k), np.float32)
-        best[0] = scores[0] + self.p["start"]
+        best = np.empty((steps, k, batch), np.float32)
+        best[0] = scores[0] + (self.p["start"] if first is None else first)[:, None]
+        part = np.empty((k, batch), np.float32)
         for t in range(1, steps):
             last, now = best[t - 1], best[t]
-            np.add(last[:, :1], move[0], out=now)
+            np.add(last[:1], move[0][:, None], out=now)
             for j in range(1, k):
-                np.maximum(now, last[:, j : j + 1] + move[j], out=now)
+                np.add(last[j : j + 1], move[j][:, None], out=part)
+                np.maximum(now, part, out=now)
             now += scores[t]
         # Which label came before is looked up on the way back, for the labels of the path alone.
         into = np.ascontiguousarray(move.T)
         path = np.empty((steps, batch), np.int8)
-        path[-1] = best[-1].argmax(1)
+        path[-1] = (best[-1] if end is None else best[-1] + end[:, None]).argmax(0)
         for t in range(steps - 1, 0, -1):
-            path[t - 1] = (best[t - 1] + into[path[t]]).argmax(1)
+            path[t - 1] = (best[t - 1] + into[path[t]].T).argmax(0)
         return path
 
+    def sure(self, scores: np.ndarray) -> np.ndarray:
+        """Places (T, B) at which the best path is O beyond doubt. Were it another label there, that label could be
+        exchanged for O and a following I-x for B-x; this changes three transitions at most, so it is better wherever O
+        leads by more than those can differ and than I-x leads over B-x behind."""
+        allowed = np.r_[self.p["T"][_FORBIDDEN == 0], self.p["start"]]
+        slack = 3 * float(allowed.max() - allowed.min())
+        lead = scores[:, 0] - scores[:, 1:].max(1)
+        behind = (scores[1:, 2::2] - scores[1:, 1::2]).max(1)
+        lead[:-1] -= np.maximum(behind, 0)
+        return lead > slack
+
     def best_labels(self, scores: np.ndarray) -> np.ndarray:
-        """decode(), but without the walk over windows whose best path is O throughout beyond doubt: at each place O
-        must lead by more than the transitions into and out of another label could add."""
-        move = self.p["T"]
-        gain = max(0.0, float((move[0].max() - move[0, 0]) + (move.max() - move[0, 0])), float(self.p["start"].max() - self.p["start"][0]) + float(move.max() - move[0, 0]))
-        lead = scores[:, :, 0] - scores[:, :, 1:].max(2)
-        open_ = (lead <= gain).any(0)
-        path = np.zeros(scores.shape[:2], np.int8)
-        if open_.any():
-            path[:, open_] = self.decode(scores[:, open_])
+        """decode(), walking only over the stretches between places that are O beyond doubt. Equal results; stretches of
+        like length are walked together."""
+        steps, _, batch = scores.shape
+        path = np.zeros((steps, batch), np.int8)
+        if not steps:
+            return path
+        open_ = np.zeros((batch, steps + 2), np.int8)
+        open_[:, 1:-1] = ~self.sure(scores).T
+        turn = np.diff(open_, axis=1)
+        who, start = np.nonzero(turn == 1)
+        stop = np.nonzero(turn == -1)[1]
+        size = stop - start
+        move = self.p["T"] + _FORBIDDEN
+        none = np.zeros(len(LABELS), np.float32)
+        for head in (True, False):
+            for tail in (True, False):
+                mine = np.flatnonzero(((start == 0) == head) & ((stop == steps) == tail))
+                for group in np.split(mine[np.argsort(size[mine], kind="stable")], np.flatnonzero(np.diff(np.sort(size[mine]))) + 1):
+                    if not len(group):
+                        continue
+                    at = start[group][None, :] + np.arange(size[group[0]])[:, None]
+                    part = np.ascontiguousarray(scores[at, :, who[group][None, :]].transpose(0, 2, 1))
+                    path[at, who[group][None, :]] = self.decode(part, None if head else move[0], none if tail else move[:, 0])
         return path
 
     # -- training ---------------------------------------------------------------------------------------------------
 
+    def _forward(self, inputs: np.ndarray, d: str, keep: list) -> np.ndarray:
+        """States (T, H, B) of one direction; what the way back needs goes to ``keep``."""
+        _, steps, batch = inputs.shape
+        h, w = self.hidden, self._halved(d)
+        out = np.empty((steps, h, batch), np.float32)
+        state, cell = np.zeros((h, batch), np.float32), np.zeros((h, batch), np.float32)
+        for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
+            fed = np.concatenate([state, inputs[:, t], np.ones((1, batch), np.float32)])
+            z = np.tanh(w @ fed)
+            z[: 3 * h] = z[: 3 * h] * 0.5 + 0.5
+            now = z[h : 2 * h] * cell + z[:h] * z[3 * h :]
+            th = np.tanh(now)
+            keep.append((t, fed, z, cell, th))
+            cell, state = now, z[2 * h : 3 * h] * th
+            out[t] = state
+        return out
+
     def loss_and_grads(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """CRF loss per position over windows (T, B) with labels, and its gradients."""
-        kept_f: list = []
-        kept_b: list = []
-        hf, hb = self._direction(x, "f", kept_f), self._direction(x, "b", kept_b)
-        both = np.concatenate([hf, hb], 2)
-        scores = both @ self.p["W"] + self.p["c"]
-        steps, batch, k = scores.shape
+        steps, batch = x.shape
+        h, k = self.hidden, len(LABELS)
+        inputs = self._inputs(x)
+        kept: dict[str, list] = {"f": [], "b": []}
+        states = {d: self._forward(inputs, d, kept[d]) for d in "fb"}
+        scores = self.p["Of"] @ states["f"] + self.p["Ob"] @ states["b"] + self.p["c"][:, None]
         move, start = self.p["T"], self.p["start"]
-        alpha, beta = np.empty((steps, batch, k), np.float32), np.zeros((steps, batch, k), np.float32)
-        alpha[0] = scores[0] + start
+        alpha, beta = np.empty((steps, k, batch), np.float32), np.zeros((steps, k, batch), np.float32)
+        alpha[0] = scores[0] + start[:, None]
         gain = np.exp(move)
         for t in range(1, steps):
-            m = alpha[t - 1].max(1, keepdims=True)
-            alpha[t] = scores[t] + m + np.log(np.exp(alpha[t - 1] - m) @ gain + 1e-30)
-        m = alpha[-1].max(1)
-        z = m + np.log(np.exp(alpha[-1] - m[:, None]).sum(1))
+            m = alpha[t - 1].max(0)
+            alpha[t] = scores[t] + m + np.log(gain.T @ np.exp(alpha[t - 1] - m) + 1e-30)
+        m = alpha[-1].max(0)
+        z = m + np.log(np.exp(alpha[-1] - m).sum(0))
         for t in range(steps - 2, -1, -1):
             ahead = scores[t + 1] + beta[t + 1]
-            m = ahead.max(1, keepdims=True)
-            beta[t] = m + np.log(np.exp(ahead - m) @ gain.T + 1e-30)
+            m = ahead.max(0)
+            beta[t] = m + np.log(gain @ np.exp(ahead - m) + 1e-30)
         rows = np.arange(batch)
-        gold = scores[0][rows, y[0]] + start[y[0]]
-        for t in range(1, steps):
-            gold = gold + scores[t][rows, y[t]] + move[y[t - 1], y[t]]
+        y = y.astype(np.int64)
+        at = np.take_along_axis(scores, y[:, None, :], 1)[:, 0]
+        gold = at.sum(0) + start[y[0]] + move[y[:-1], y[1:]].sum(0)
         norm = steps * batch
         loss = float((z - gold).sum() / norm)
-        marginal = np.exp(alpha + beta - z[None, :, None])
-        d_scores = marginal
-        d_move = np.zeros_like(move)
-        for t in range(1, steps):
-            # exp(alpha + move + score + beta - z) summed over the batch is a product of two matrices, scaled per row.
-            low, high = alpha[t - 1].max(1, keepdims=True), (scores[t] + beta[t]).max(1, keepdims=True)
-            left, right = np.exp(alpha[t - 1] - low), np.exp(scores[t] + beta[t] - high)
-            d_move += (left * np.exp(low + high - z[:, None])).T @ right * np.exp(move)
-            np.add.at(d_move, (y[t - 1], y[t]), -1)
-        d_start = marginal[0].sum(0)
+        d_scores = np.exp(alpha + beta - z)
+        # exp(alpha + move + score + beta - z) summed over places and batch, scaled per column.
+        ahead = scores[1:] + beta[1:]
+        low, high = alpha[:-1].max(1, keepdims=True), ahead.max(1, keepdims=True)
+        left = np.exp(alpha[:-1] - low + (low + high - z)).transpose(1, 0, 2).reshape(k, -1)
+        right = np.exp(ahead - high).transpose(1, 0, 2).reshape(k, -1)
+        d_move = (left @ right.T) * gain
+        np.add.at(d_move, (y[:-1].ravel(), y[1:].ravel()), -1)
+        d_start = d_scores[0].sum(1)
         np.add.at(d_start, y[0], -1)
-        np.put_along_axis(d_scores, y[:, :, None].astype(np.int64), np.take_along_axis(d_scores, y[:, :, None].astype(np.int64), 2) - 1, 2)
-        d_scores = (d_scores / norm).astype(np.float32)
-        grads = {"T": d_move / norm, "start": d_start / norm}
-        flat = d_scores.reshape(-1, k)
-        grads["W"] = both.reshape(-1, both.shape[2]).T @ flat
-        grads["c"] = flat.sum(0)
-        d_both = d_scores @ self.p["W"].T
-        h = self.hidden
-        for d, kept, dh in (("f", kept_f, d_both[:, :, :h]), ("b", kept_b, d_both[:, :, h:])):
-            u = self.p["U" + d]
-            g_e, g_u = np.zeros_like(self.p["E" + d]), np.zeros_like(u)
-            d_state, d_cell = np.zeros((batch, h), np.float32), np.zeros((batch, h), np.float32)
-            for t, gates, state, cell in reversed(kept):
-                i, f, o, g = gates[:, :h], gates[:, h : 2 * h], gates[:, 2 * h : 3 * h], gates[:, 3 * h :]
-                now = f * cell + i * g
-                th = np.tanh(now)
+        d_scores[np.arange(steps)[:, None], y, rows[None, :]] -= 1
+        d_scores /= norm
+        grads = {"T": d_move / norm, "start": d_start / norm, "c": d_scores.sum((0, 2))}
+        d_inputs = np.zeros_like(inputs)
+        for d in "fb":
+            grads["O" + d] = np.einsum("tkb,thb->kh", d_scores, states[d], optimize=True)
+            dh = self.p["O" + d].T @ d_scores
+            w, g_w = self.p["W" + d], np.zeros_like(self.p["W" + d])
+            back = np.ascontiguousarray(w[:, :-1].T)
+            d_state, d_cell = np.zeros((h, batch), np.float32), np.zeros((h, batch), np.float32)
+            dz = np.empty((4 * h, batch), np.float32)
+            for t, fed, gates, cell, th in reversed(kept[d]):
+                i, f, o, g = gates[:h], gates[h : 2 * h], gates[2 * h : 3 * h], gates[3 * h :]
                 ds = dh[t] + d_state
                 dc = d_cell + ds * o * (1 - th * th)
-                dz = np.concatenate([dc * g * i * (1 - i), dc * cell * f * (1 - f), ds * th * o * (1 - o), dc * i * (1 - g * g)], 1)
-                g_u += state.T @ dz
-                seen = np.zeros((batch, _PLAIN), np.float32)
-                seen[rows, x[t]] = 1
-                g_e += seen.T @ dz
-                d_state, d_cell = dz @ u.T, dc * f
-            grads["E" + d], grads["U" + d] = g_e, g_u
+                dz[:h], dz[h : 2 * h], dz[2 * h : 3 * h], dz[3 * h :] = dc * g, dc * cell, ds * th, dc * i * (1 - g * g)
+                dz[: 3 * h] *= gates[: 3 * h] * (1 - gates[: 3 * h])
+                g_w += dz @ fed.T
+                below = back @ dz
+                d_state, d_cell = below[:h], dc * f
+                d_inputs[:, t] += below[h:]
+            grads["W" + d] = g_w
+        seen = np.argsort(x.ravel(), kind="stable")
+        ids, firsts = np.unique(x.ravel()[seen], return_index=True)
+        grads["emb"] = np.zeros_like(self.p["emb"])
+        grads["emb"][ids] = np.add.reduceat(d_inputs.reshape(self.width, -1)[:, seen], firsts, axis=1).T
         return loss, grads
 
 

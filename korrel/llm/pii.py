@@ -1,11 +1,13 @@
 """Personal information in free text: typed placeholders.
 
 A character-level BiLSTM-CRF (tagger.py) labels e-mail addresses, phone numbers, identity numbers, street addresses and
-names. It runs over windows of ``WINDOW`` characters that overlap by ``OVERLAP``; each window is decoded with the CRF,
-and the windows are reconciled over the whole text: a character takes its label from the window in which it is most
-central, and spans that continue across a seam are joined.
+names. It reads the whole of every text, without a gate before it. A text is cut into units at empty lines and sentence ends;
+a unit longer than ``WINDOW`` characters is read in windows that overlap by ``OVERLAP``. Each window is decoded with the
+CRF, and the windows are reconciled over the whole text: a character takes its label from the window in which it is
+most central, and spans that continue across a seam are joined. Units that are the same to the tagger (all digits are
+one class of characters) are read once in a batch of rows, which changes no result.
 
-The windows are laid over the whole of every text, without a gate before the tagger. A last exact check drops spans that
+A last exact check drops spans that
 lack what their kind must have (digits for numbers and addresses, an at sign for e-mail).
 
 Defined cases: null and empty texts have no mentions; existing placeholders are left alone; repeated rows are tagged
@@ -23,10 +25,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from korrel.llm.tagger import KINDS, LABELS, BiLstmCrf, encode
+from korrel.llm.tagger import FREE, KINDS, BiLstmCrf, encode
 
 WEIGHTS = os.path.join(os.path.dirname(__file__), "pii_weights.npz")
 WINDOW, OVERLAP, BATCH = 512, 48, 512
+#: Characters that are read together.
+CHARS = 8_000_000
 _DIGIT = re.compile(r"\d")
 _AT = re.compile(r"@|[(\[{]\s*(?:at|apenstaartje|æ)\s*[)\]}]|\bat\b", re.I)
 _LETTERS = re.compile(r"[^\W\d_]{2,}")
@@ -34,11 +38,70 @@ _PLACEHOLDER = re.compile(r"\[[A-Z_]+\]|\|\|\|[A-Z_]+\|\|\|?|<[A-Z_]+>")
 
 
 def windows(a: int, b: int) -> list[tuple[int, int]]:
-    """Windows of the stretch [a, b), with overlaps."""
-    if b - a <= WINDOW:
-        return [(a, b)]
-    starts = list(range(a, b - WINDOW, WINDOW - OVERLAP))
-    return [(s, s + WINDOW) for s in starts] + [(b - WINDOW, b)]
+    """Windows of the stretch [a, b), as few as possible and of equal lengths, with overlaps of OVERLAP or one more."""
+    n = max(1, -(-(b - a - OVERLAP) // (WINDOW - OVERLAP)))
+    size = -(-(b - a + (n - 1) * OVERLAP) // n)
+    starts = [a + (b - a - size) * i // max(1, n - 1) for i in range(n)]
+    return [(s, s + size) for s in starts]
+
+
+#: Short words that end in a full stop within a sentence, fixed values.
+ABBREVIATIONS = """adr art bijv blz burg ca dhr dr drs fa fr geb gem herr ing ir jr kl lic max mevr min mlle mme mr mrs ms mw no nr num
+pat prof pt ref resp sr st str tel vgl vs""".split()
+#: Ends of words that are abbreviated so, fixed values.
+ENDINGS = "str pln".split()
+_SHORT, _STREET = (np.array(sorted(sum(ord(c) << (7 * i) for i, c in enumerate(reversed(w))) for w in words)) for words in (ABBREVIATIONS, ENDINGS))
+
+
+def unit_ends(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Ends of units within texts by their character classes; texts begin at ``starts`` with one character between them.
+    A unit ends behind the white space that follows a full stop, question or exclamation mark, or that holds an empty
+    line. Within a line a full stop counts only behind a digit, a closing sign or a word in small letters that is no
+    abbreviation; an empty line doesn't count behind a comma or colon."""
+    n = len(codes)
+    space = (codes == 32) | (codes == 10)
+    first = np.flatnonzero(space[1:] & ~space[:-1]) + 1  # runs of white space behind something
+    first = first[~np.isin(first, starts)]
+    solid = np.flatnonzero(~space)
+    if not len(first) or not len(solid):
+        return np.empty(0, np.int64)
+    behind = np.searchsorted(solid, first)
+    stop = np.where(behind < len(solid), solid[np.minimum(behind, len(solid) - 1)], n)
+    lines = np.r_[0, np.cumsum(codes == 10)]
+    mark = codes[first - 1]
+    broken = lines[stop] - lines[first]
+    ends = (mark == 33) | (mark == 63) | (mark == 46) & (broken > 0) | (broken > 1) & (mark != 44) & (mark != 58)
+    dots = np.flatnonzero(mark == 46)
+    at = first[dots][:, None] - 2 - np.arange(6)[None, :]
+    word = np.where(at >= 0, codes[np.maximum(at, 0)], 32).astype(np.int64)  # the six characters before the full stop
+    low = (word >= 97) & (word <= 122)
+    size = np.where(low.all(1), 6, low.argmin(1))
+    ahead = word[np.arange(len(word)), np.minimum(size, 5)]
+    letter = (ahead >= 65) & (ahead <= 90) | (ahead == 2)
+    packed = ((word << (7 * np.arange(6))[None, :]) * (np.arange(6)[None, :] < size[:, None])).sum(1)
+    street = (size >= 3) & np.isin((word[:, :3] << (7 * np.arange(3))[None, :]).sum(1), _STREET)
+    ends[dots] |= ((size >= 5) | (size >= 2) & ~letter & ~np.isin(packed, _SHORT)) & ~street | np.isin(word[:, 0], _CLOSING)
+    return stop[ends]
+
+
+def units_of(texts: list[str]) -> tuple[list[bytes], list[list[int]]]:
+    """The distinct units of texts, as character classes, and the units of each text by number."""
+    size = np.array([len(t) for t in texts], np.int64)
+    starts = np.r_[0, np.cumsum(size + 1)[:-1]].astype(np.int64)
+    codes = encode("\x7f".join(texts))
+    whole = codes.tobytes()
+    bounds = np.unique(np.concatenate([starts, starts + size, unit_ends(codes, starts)]))
+    owner = np.searchsorted(starts, bounds, "right") - 1
+    seen: dict[bytes, int] = {}
+    laid: list[list[int]] = [[] for _ in texts]
+    for a, b, i, last in zip(bounds.tolist(), bounds[1:].tolist(), owner.tolist(), (starts + size)[owner].tolist()):
+        if a < last:
+            laid[i].append(seen.setdefault(whole[a:b], len(seen)))
+    return list(seen), laid
+
+
+#: Classes behind which a full stop ends a unit: digits and closing signs.
+_CLOSING = np.array([48, 41, 93, 37, 34, 39], np.int64)
 
 
 def _sound(kind: str, part: str) -> bool:
@@ -60,8 +123,8 @@ def spans_of(labels: np.ndarray, text: str, offset: int) -> list[tuple[int, int,
     """Spans of the labels of a stretch that starts at offset: runs of one kind; a B- begins a new one."""
     if not labels.any():
         return []
-    kind = (labels + 1) // 2
-    edges = np.flatnonzero(np.r_[True, (kind[1:] != kind[:-1]) | ((labels[1:] % 2 == 1) & (labels[1:] > 0))])
+    kind = np.where(labels, (labels - 1) % len(KINDS) + 1, 0)
+    edges = np.flatnonzero(np.r_[True, (kind[1:] != kind[:-1]) | ((labels[1:] < FREE) & (labels[1:] > 0))])
     out = []
     for i, s in enumerate(edges):
         if kind[s]:
@@ -84,38 +147,39 @@ class Finder:
         order = sorted(range(len(encoded)), key=lambda i: len(encoded[i]))
         for at in range(0, len(order), BATCH):
             group = order[at : at + BATCH]
-            longest = len(encoded[group[-1]])
-            x = np.zeros((longest, len(group)), np.int16)
-            for j, i in enumerate(group):
-                x[: len(encoded[i]), j] = encoded[i]
-            path = self.model.best_labels(self.model.emissions(x))
-            for j, i in enumerate(group):
-                out[i] = path[: len(encoded[i]), j]
+            x = np.zeros((len(group), len(encoded[group[-1]])), np.uint8)
+            for row, i in zip(x, group):
+                row[: len(encoded[i])] = encoded[i]
+            path = np.ascontiguousarray(self.model.decode(self.model.emissions(np.ascontiguousarray(x.T))).T)
+            for row, i in zip(path, group):
+                out[i] = row[: len(encoded[i])]
+        return out
+
+    def unit_labels(self, units: list[bytes]) -> list[np.ndarray]:
+        """Labels of whole units, their windows reconciled: the seam between two lies in the middle of their overlap."""
+        places = [windows(0, len(u)) for u in units]
+        labels = self.label([np.frombuffer(u, np.uint8)[s:e] for u, w in zip(units, places) for s, e in w])
+        out, i = [], 0
+        for u, w in zip(units, places):
+            if len(w) == 1:
+                out.append(labels[i])
+            else:
+                seams = [0, *((b + s) // 2 for (_, b), (s, _) in zip(w, w[1:])), len(u)]
+                out.append(np.concatenate([labels[i + q][seams[q] - s : seams[q + 1] - s] for q, (s, _) in enumerate(w)]))
+            i += len(w)
         return out
 
     def find(self, texts: list[str | None]) -> list[list[tuple[int, int, str]]]:
         """(start, end, kind) of the mentions of each text."""
-        places, parts = [], []
-        for n, t in enumerate(texts):
-            codes = encode(t or "")
-            for s, e in windows(0, len(codes)):
-                places.append((n, s, e))
-                parts.append(codes[s:e])
-        labels = self.label(parts)
+        units, laid = units_of([t or "" for t in texts])
+        labels = self.unit_labels(units)
+        some = [bool(y.any()) for y in labels]
         out: list[list[tuple[int, int, str]]] = []
-        i = 0
-        for n, t in enumerate(texts):
-            j = i
-            while j < len(places) and places[j][0] == n:
-                j += 1
-            whole = np.zeros(len(t or ""), np.int64)
-            for q in range(i, j):  # the seam between two windows lies in the middle of their overlap
-                s, e = places[q][1:]
-                left = 0 if q == i else (places[q - 1][2] + s) // 2
-                right = len(whole) if q == j - 1 else (e + places[q + 1][1]) // 2
-                whole[left:right] = labels[q][left - s : right - s]
-            out.append(spans_of(whole, t, 0) if t else [])
-            i = j
+        for t, ids in zip(texts, laid):
+            spans: list[tuple[int, int, str]] = []
+            if any(some[i] for i in ids):
+                spans = spans_of(np.concatenate([labels[i] for i in ids]), t, 0)
+            out.append(spans)
         return out
 
 
@@ -145,11 +209,13 @@ def find_pii(texts: DataFrame, key: str, text: str, path: str = WEIGHTS) -> Data
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tag = finder(path)
         for b in batches:
-            for at in range(0, len(b), 1000):
-                part = b.iloc[at : at + 1000]
-                bodies = part.iloc[:, 1].tolist()
-                rows = [(k, sorted({x[2] for x in s}), len(s), replace_spans(t, s)) for k, t, s in zip(part.iloc[:, 0], bodies, tag.find(bodies)) if s]
-                yield pd.DataFrame(rows, columns=["rec_id", "kinds", "n_mentions", "clean"])
+            keys, bodies = b.iloc[:, 0].tolist(), b.iloc[:, 1].tolist()
+            size = np.cumsum([len(t) for t in bodies])
+            parts = np.searchsorted(size, np.arange(CHARS, size[-1] + CHARS, CHARS), "right") if len(size) else []
+            for s, e in zip([0, *parts], [*parts, len(bodies)]):
+                if s < e:
+                    rows = [(k, sorted({x[2] for x in f}), len(f), replace_spans(t, f)) for k, t, f in zip(keys[s:e], bodies[s:e], tag.find(bodies[s:e])) if f]
+                    yield pd.DataFrame(rows, columns=["rec_id", "kinds", "n_mentions", "clean"])
 
     kind = texts.schema[key].dataType.simpleString()
     return texts.select(key, text).filter(F.length(text) > 0).mapInPandas(run, f"rec_id {kind}, kinds array<string>, n_mentions int, clean string")

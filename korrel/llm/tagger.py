@@ -13,8 +13,9 @@ import unicodedata
 import numpy as np
 
 KINDS = ("email", "phone", "idnum", "address", "name")
-#: O, then B- and I- of each kind.
-LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
+#: O, then the B- and then the I- of each kind: the first FREE labels may follow any other.
+LABELS = ("O", *(f"B-{k}" for k in KINDS), *(f"I-{k}" for k in KINDS))
+FREE = 1 + len(KINDS)
 _PLAIN = 128
 
 
@@ -43,7 +44,7 @@ def _char_table() -> np.ndarray:
     return table
 
 
-TABLE = _char_table()
+TABLE = _char_table().astype(np.uint8)
 
 
 def encode(text: str) -> np.ndarray:
@@ -60,7 +61,7 @@ class BiLstmCrf:
         self.hidden, self.width = self.p["Wf"].shape[0] // 4, self.p["emb"].shape[1]
 
     @classmethod
-    def fresh(cls, hidden: int, width: int = 16, seed: int = 0) -> BiLstmCrf:
+    def fresh(cls, hidden: int, width: int = 8, seed: int = 0) -> BiLstmCrf:
         rng = np.random.default_rng(seed)
         k, h = len(LABELS), hidden
         p = {"emb": rng.normal(0, 0.7, (_PLAIN, width)), "c": np.zeros(k), "T": np.zeros((k, k)), "start": np.zeros(k)}
@@ -81,7 +82,7 @@ class BiLstmCrf:
 
     def _inputs(self, x: np.ndarray) -> np.ndarray:
         """Embeddings (E, T, B) of class ids (T, B)."""
-        out = np.empty((self.width, *x.shape), np.float32)
+        out, x = np.empty((self.width, *x.shape), np.float32), x.astype(np.intp)
         for row, column in zip(np.ascontiguousarray(self.p["emb"].T), out):
             np.take(row, x, out=column, mode="clip")
         return out
@@ -105,9 +106,12 @@ class BiLstmCrf:
         i, f, o, g, emitted = z[:h], z[h : 2 * h], z[2 * h : 3 * h], z[3 * h : 4 * h], z[4 * h :]
         gates, sigmoids = z[: 4 * h], z[: 3 * h]
         for d in "fb":
+            # The gates are kept as tanh(z / 2) + 1, twice the sigmoid; what is doubled so is halved in the weights that
+            # read the state, and once in the cell.
             out = np.zeros((k, h + self.width + 1), np.float32)
             out[:, :h] = self.p["O" + d]
             w = np.concatenate([self._halved(d), out])
+            w[:, :h] *= 0.5
             buffer = np.zeros((h + self.width + 1, batch), np.float32)
             buffer[-1] = 1
             state, fed, cell = buffer[:h], buffer[h:-1], np.zeros((h, batch), np.float32)
@@ -120,75 +124,45 @@ class BiLstmCrf:
                     scores[last] += emitted
                 last = t
                 np.tanh(gates, out=gates)
-                np.multiply(sigmoids, 0.5, out=sigmoids)
-                np.add(sigmoids, 0.5, out=sigmoids)
+                np.add(sigmoids, 1, out=sigmoids)
                 np.multiply(cell, f, out=cell)
                 np.multiply(i, g, out=i)
                 np.add(cell, i, out=cell)
+                np.multiply(cell, 0.5, out=cell)
                 np.tanh(cell, out=th)
                 np.multiply(o, th, out=state)
             if last is not None:
-                scores[last] += self.p["O" + d] @ state
+                scores[last] += (0.5 * self.p["O" + d]) @ state
         return scores
 
-    def decode(self, scores: np.ndarray, first: np.ndarray | None = None, end: np.ndarray | None = None) -> np.ndarray:
-        """Best label path (T, B) of scores (T, K, B) under the CRF transitions; ``first`` is added to the scores of the
-        first place (the start scores, if None), ``end`` to those of the last."""
+    def decode(self, scores: np.ndarray) -> np.ndarray:
+        """Best label path (T, B) of scores (T, K, B) under the CRF transitions. I-x follows only B-x and I-x, so a step
+        is one sum and maximum over all labels for O and the B-, and one over two labels for each I-."""
         steps, k, batch = scores.shape
-        move = self.p["T"] + _FORBIDDEN
+        move = self.p["T"]
+        free, turn, stay = move[:, :FREE, None], np.diag(move[1:FREE, FREE:])[:, None], np.diag(move[FREE:, FREE:])[:, None]
         best = np.empty((steps, k, batch), np.float32)
-        best[0] = scores[0] + (self.p["start"] if first is None else first)[:, None]
-        part = np.empty((k, batch), np.float32)
+        best[0] = scores[0] + (self.p["start"] + np.r_[np.zeros(FREE), np.full(k - FREE, -1e4)].astype(np.float32))[:, None]
+        sums = np.empty((k, FREE, batch), np.float32)
+        plain = np.ones(batch, bool)
         for t in range(1, steps):
             last, now = best[t - 1], best[t]
-            np.add(last[:1], move[0][:, None], out=now)
-            for j in range(1, k):
-                np.add(last[j : j + 1], move[j][:, None], out=part)
-                np.maximum(now, part, out=now)
+            np.add(last[:, None, :], free, out=sums)
+            np.max(sums, axis=0, out=now[:FREE])
+            np.maximum(last[1:FREE] + turn, last[FREE:] + stay, out=now[FREE:])
+            plain &= sums[0, 0] == now[0]  # O comes from O
             now += scores[t]
-        # Which label came before is looked up on the way back, for the labels of the path alone.
-        into = np.ascontiguousarray(move.T)
-        path = np.empty((steps, batch), np.int8)
-        path[-1] = (best[-1] if end is None else best[-1] + end[:, None]).argmax(0)
-        for t in range(steps - 1, 0, -1):
-            path[t - 1] = (best[t - 1] + into[path[t]].T).argmax(0)
-        return path
-
-    def sure(self, scores: np.ndarray) -> np.ndarray:
-        """Places (T, B) at which the best path is O beyond doubt. Were it another label there, that label could be
-        exchanged for O and a following I-x for B-x; this changes three transitions at most, so it is better wherever O
-        leads by more than those can differ and than I-x leads over B-x behind."""
-        allowed = np.r_[self.p["T"][_FORBIDDEN == 0], self.p["start"]]
-        slack = 3 * float(allowed.max() - allowed.min())
-        lead = scores[:, 0] - scores[:, 1:].max(1)
-        behind = (scores[1:, 2::2] - scores[1:, 1::2]).max(1)
-        lead[:-1] -= np.maximum(behind, 0)
-        return lead > slack
-
-    def best_labels(self, scores: np.ndarray) -> np.ndarray:
-        """decode(), walking only over the stretches between places that are O beyond doubt. Equal results; stretches of
-        like length are walked together."""
-        steps, _, batch = scores.shape
         path = np.zeros((steps, batch), np.int8)
-        if not steps:
-            return path
-        open_ = np.zeros((batch, steps + 2), np.int8)
-        open_[:, 1:-1] = ~self.sure(scores).T
-        turn = np.diff(open_, axis=1)
-        who, start = np.nonzero(turn == 1)
-        stop = np.nonzero(turn == -1)[1]
-        size = stop - start
-        move = self.p["T"] + _FORBIDDEN
-        none = np.zeros(len(LABELS), np.float32)
-        for head in (True, False):
-            for tail in (True, False):
-                mine = np.flatnonzero(((start == 0) == head) & ((stop == steps) == tail))
-                for group in np.split(mine[np.argsort(size[mine], kind="stable")], np.flatnonzero(np.diff(np.sort(size[mine]))) + 1):
-                    if not len(group):
-                        continue
-                    at = start[group][None, :] + np.arange(size[group[0]])[:, None]
-                    part = np.ascontiguousarray(scores[at, :, who[group][None, :]].transpose(0, 2, 1))
-                    path[at, who[group][None, :]] = self.decode(part, None if head else move[0], none if tail else move[:, 0])
+        end = best[-1].argmax(0)
+        some = np.flatnonzero(~plain | (end > 0))  # all other paths are O throughout
+        if len(some):
+            # Which label came before is looked up on the way back, for the labels of the path alone.
+            into, at = np.ascontiguousarray((move + _FORBIDDEN).T), end[some]
+            path[-1, some] = at
+            held = best[:, :, some]
+            for t in range(steps - 1, 0, -1):
+                at = (held[t - 1] + into[at].T).argmax(0)
+                path[t - 1, some] = at
         return path
 
     # -- training ---------------------------------------------------------------------------------------------------

@@ -1,21 +1,26 @@
 """Keyword-stuffed and link-list pages.
 
-A page is cut into units (lines and sentences). A unit has clause structure if enough of its words are function words
-of the languages of the corpus, tags aside; one whose words are mostly inside links has none. Of the units that have none, the page's suffix automaton tells which characters lie in
-repeated maximal substrings: for every prefix of the page, the longest suffix that occurs at least ``REPEATS`` times.
-A unit without clauses counts as stuffing if repeats cover it, or if it is made of links, tags, menu paths or prices.
-A page is found if more than half of its words are in such units.
+A page is a sequence of symbols: its words in small letters, marks and line breaks; all numbers are one symbol, and so
+are all words of addresses in links, all hashtags and all words of list items (at most ``ITEM`` words, none of them a
+function word, beside a separator). The page's suffix automaton over these symbols tells which
+characters lie in repeated maximal substrings: for every prefix, the longest suffix that occurs at least ``REPEATS``
+times. Units (lines and sentences) have clause structure if enough of their words are function words of the languages
+of the corpus, links and tags aside; a unit mostly of links has none. A unit without clauses counts as stuffed if
+repeats cover enough of it, or of all such units of the page; a page is found if more than half of its words are in
+stuffed units. So nothing is found that repeats don't cover.
 
-A page whose clause-free units hold no more than half of its words cannot be found whatever its repeats are, so its
-automaton isn't built; that shortcut changes no result.
+The automaton is built for every page. A substring that occurs often consists of pairs of neighbours that occur as
+often, or is a single symbol, whose count tells enough; so the automaton reads the stretches of such pairs one after
+the other, each from its root, which changes no result. Its states are flat arrays, with a dictionary only where they branch.
 
-Defined cases: null, empty and blank texts and pages of fewer than ``MIN_WORDS`` words are not found; repeated rows
-are judged each; texts of any length are judged whole.
+Defined cases: null, empty and blank texts are not found; repeated rows are judged each; texts of any length are judged
+whole.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +28,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-REPEATS, SHORTEST, COVERED, PAGE_COVERED, CLAUSE, MIN_WORDS = 3, 6, 0.35, 0.3, 0.16, 8
+REPEATS, SHORTEST, COVERED, PAGE_COVERED, CLAUSE, ITEM = 3, 6, 0.35, 0.3, 0.16, 3
+#: Characters that are judged together; a longer page is judged alone.
+CHARS = 2_000_000
 #: Function words of Dutch, English, German and French, fixed values in natural order.
 FUNCTION_WORDS = frozenset(
     """
@@ -41,117 +48,228 @@ FUNCTION_WORDS = frozenset(
     ils elles ne pas plus de d l à au aux en dans sur par avec pour après entre depuis comme se sa son ses leur
     """.split()
 )
-_UNIT = re.compile(r"[^\n\r]+?(?:[.!?…]+(?=\s)|(?=[\n\r])|\Z)")
+#: Addresses in links, and link elements with their anchor texts.
 _LINK = re.compile(r"https?://\S+|www\.\S+|<a\s[^>]*>|\[[\w.-]+\.\w{2,}\]", re.I)
-#: Link elements with their anchor texts, and bare links; tags of any kind.
 _ELEMENT = re.compile(r"<a\s[^>]*>(?:(?!</?a\b).)*</a\s*>|https?://\S+|www\.\S+", re.I | re.S)
 _MARKUP = re.compile(r"</?[a-z]\w*(?:\s[^<>]*)?/?>", re.I)
-_WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)?")
-_PATH = re.compile(r"\S\s*[>»›→|]\s*\S")
-_PRICE = re.compile(r"[€$£]\s?\d+|\d\s?(?:€|euro\b)|-\d+\s?%|\bSKU\b", re.I)
-_TAG = re.compile(r"(?<!\S)#\w+")
-_LIST = re.compile(r"[;,|•·#]| [-–»] ")
+_SEPARATORS = np.array([ord(c) for c in ";|,•·»›>→#"], np.uint32)
+SPACE, LETTER, DIGIT, LINE, MARK = range(5)
+
+
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """Kind and small letter of every code point below 0x3000; all above are letters of their own."""
+    kind, small = np.full(0x3001, MARK, np.uint8), np.arange(0x3001, dtype=np.uint32)
+    for c in range(0x3000):
+        ch = chr(c)
+        kind[c] = LINE if ch in "\n\r" else SPACE if ch.isspace() or c == 0 else LETTER if ch.isalpha() or 0x300 <= c < 0x370 else DIGIT if ch.isdigit() else MARK
+        if len(ch.lower()) == 1:
+            small[c] = ord(ch.lower())
+    kind[0x3000] = LETTER
+    return kind, small
+
+
+_KIND, _SMALL = _tables()
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _hashes(codes: np.ndarray, start: np.ndarray, size: np.ndarray, block: int = 1 << 17) -> np.ndarray:
+    """64-bit hash of each stretch of codes (start, size), sizes above 0; a block of stretches at a time."""
+    out = np.empty(len(start), np.uint64)
+    with np.errstate(over="ignore"):
+        for b in range(0, len(start), block):
+            n = size[b : b + block]
+            ends = np.cumsum(n)
+            inner = np.arange(ends[-1]) - np.repeat(ends - n, n)
+            x = codes[np.repeat(start[b : b + block], n) + inner] * _ODD + inner.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+            x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            out[b : b + block] = np.add.reduceat(x ^ (x >> np.uint64(32)), ends - n)
+    return out
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _word_hash(words: list[str]) -> np.ndarray:
+    size = np.array([len(w) for w in words], np.int64)
+    return np.sort(_hashes(_codes("".join(words)), np.cumsum(size) - size, size))
+
+
+_GRAMMAR = _word_hash(sorted(FUNCTION_WORDS))
 
 
 class SuffixAutomaton:
-    """Suffix automaton of one text: states by (length, suffix link, moves), with the number of places of each."""
-
-    def __init__(self, text: str) -> None:
-        length, link, moves, places = [0], [-1], [{}], [0]
-        last, self.prefix = 0, []
-        for c in text:
-            now = len(length)
-            length.append(length[last] + 1)
-            link.append(0)
-            moves.append({})
-            places.append(1)
-            p = last
-            while p >= 0 and c not in moves[p]:
-                moves[p][c] = now
+    """Suffix automaton of sequences of symbols (numbers below 2^31), with the number of places of each state. A state's
+    only move is packed into one number; states with more moves have a dictionary."""
+
+    def __init__(self, runs: list[list[int]]) -> None:
+        length, link, one, places = array("i", [0]), array("i", [-1]), array("q", [-1]), array("i", [0])
+        more: dict[int, dict[int, int]] = {}
+        self.prefix: list[int] = []
+
+        def to(p: int, c: int) -> int:
+            x = one[p]
+            if x >= 0 and x >> 32 == c:
+                return x & 0xFFFFFFFF
+            return more[p].get(c, -1) if p in more else -1
+
+        def put(p: int, c: int, q: int) -> None:
+            x = one[p]
+            if x < 0 or x >> 32 == c:
+                one[p] = c << 32 | q
+            else:
+                more.setdefault(p, {})[c] = q
+
+        def split(p: int, c: int, q: int) -> int:
+            twin = len(length)
+            length.append(length[p] + 1)
+            link.append(link[q])
+            one.append(one[q])
+            places.append(0)
+            if q in more:
+                more[twin] = more[q].copy()
+            link[q] = twin
+            while p >= 0 and to(p, c) == q:
+                put(p, c, twin)
                 p = link[p]
-            if p >= 0:
-                q = moves[p][c]
-                if length[q] == length[p] + 1:
-                    link[now] = q
+            return twin
+
+        for run in runs:
+            last = 0
+            for c in run:
+                q = to(last, c)
+                if q >= 0:  # a later run that begins like an earlier one
+                    last = q if length[q] == length[last] + 1 else split(last, c, q)
                 else:
-                    twin = len(length)
-                    length.append(length[p] + 1)
-                    link.append(link[q])
-                    moves.append(moves[q].copy())
+                    now, p = len(length), last
+                    length.append(length[last] + 1)
+                    link.append(0)
+                    one.append(-1)
                     places.append(0)
-                    while p >= 0 and moves[p].get(c) == q:
-                        moves[p][c] = twin
+                    q = -1
+                    while p >= 0:
+                        q = to(p, c)
+                        if q >= 0:
+                            break
+                        put(p, c, now)
                         p = link[p]
-                    link[q] = link[now] = twin
-            last = now
-            self.prefix.append(now)
+                    if p >= 0:
+                        link[now] = q if length[q] == length[p] + 1 else split(p, c, q)
+                    last = now
+                places[last] += 1
+                self.prefix.append(last)
         self.length, self.link, self.places = length, link, places
-        self.order = sorted(range(1, len(length)), key=length.__getitem__)
+        self.order = np.argsort(np.array(length, np.int32), kind="stable")[1:].tolist()
         for state in reversed(self.order):
             if link[state] > 0:
                 places[link[state]] += places[state]
 
     def repeated(self, times: int) -> list[int]:
-        """For each prefix of the text, the length of its longest suffix that occurs at least ``times`` times."""
-        best = [0] * len(self.length)
+        """For each prefix of each run, the length of its longest suffix that occurs at least ``times`` times."""
+        best, length, link, places = array("i", [0]) * len(self.length), self.length, self.link, self.places
         for state in self.order:
-            best[state] = self.length[state] if self.places[state] >= times else best[self.link[state]]
+            best[state] = length[state] if places[state] >= times else best[link[state]]
         return [best[s] for s in self.prefix]
 
 
-def covered(text: str, times: int = REPEATS, shortest: int = SHORTEST) -> np.ndarray:
-    """Whether each character lies in a substring of at least ``shortest`` characters that occurs ``times`` times."""
-    longest = np.array(SuffixAutomaton(text).repeated(times), np.int64)
-    end = np.flatnonzero(longest >= shortest)
-    step = np.zeros(len(text) + 1, np.int64)
-    np.add.at(step, end - longest[end] + 1, 1)
-    np.add.at(step, end + 1, -1)
-    return np.cumsum(step[:-1]) > 0
+def covered(symbols: np.ndarray, start: np.ndarray, stop: np.ndarray, page: np.ndarray, times: int = REPEATS, shortest: int = SHORTEST) -> np.ndarray:
+    """Whether each symbol (place start..stop in the text) lies in a substring of its page that occurs ``times`` times
+    and is at least ``shortest`` characters long."""
+    if not len(symbols):
+        return np.zeros(0, bool)
+    each = pd.factorize(page.astype(np.int64) << 32 | symbols)[0]
+    alone = (np.bincount(each)[each] >= times) & (stop - start >= shortest)
+    pair = symbols[:-1].astype(np.int64) << 32 | symbols[1:].astype(np.int64)
+    same = page[1:] == page[:-1]
+    order = np.lexsort((pair, page[:-1]))
+    edge = np.r_[True, (pair[order][1:] != pair[order][:-1]) | (page[:-1][order][1:] != page[:-1][order][:-1])]
+    group = np.cumsum(edge) - 1
+    often = np.empty(len(pair), bool)
+    often[order] = np.bincount(group)[group] >= times
+    often &= same
+    turn = np.diff(np.r_[0, often.view(np.int8), 0])
+    first, last = np.flatnonzero(turn == 1), np.flatnonzero(turn == -1) + 1  # stretches of symbols [first, last)
+    lists = symbols.tolist()
+    owner = page[first]
+    longest = np.zeros(len(symbols), np.int64)
+    for at in np.split(np.arange(len(first)), np.flatnonzero(np.diff(owner)) + 1) if len(first) else []:
+        runs = [lists[a:b] for a, b in zip(first[at].tolist(), last[at].tolist())]
+        where = np.concatenate([np.arange(a, b) for a, b in zip(first[at], last[at])])
+        longest[where] = SuffixAutomaton(runs).repeated(times)
+    end = np.flatnonzero(longest >= 2)
+    begin = end - longest[end] + 1
+    long_ = stop[end] - start[begin] >= shortest
+    step = np.zeros(len(symbols) + 1, np.int64)
+    np.add.at(step, begin[long_], 1)
+    np.add.at(step, end[long_] + 1, -1)
+    return alone | (np.cumsum(step[:-1]) > 0)
 
 
-def _clauses(unit: str) -> bool:
-    """Whether a unit is built like a sentence: enough function words among its words, outside links and tags."""
-    words = [w.lower() for w in _WORD.findall(_MARKUP.sub(" ", _LINK.sub(" ", unit)))]
-    grammar = sum(w in FUNCTION_WORDS for w in words)
-    if grammar == 1 and _PRICE.search(unit):  # an offer with a preposition in it
-        return False
-    return bool(words) and grammar >= max(1, CLAUSE * len(words))
+def _inside(pattern: re.Pattern, text: str) -> np.ndarray:
+    out = np.zeros(len(text) + 1, np.int32)
+    for m in pattern.finditer(text):
+        out[m.start()] += 1
+        out[m.end()] -= 1
+    return np.cumsum(out[:-1]) > 0
 
 
-def _linked(text: str) -> np.ndarray:
-    """For each place (0..n) the number of words before it that lie inside links, less that of the others."""
-    inside, gain = np.zeros(len(text), bool), np.zeros(len(text) + 1, np.int64)
-    for m in _ELEMENT.finditer(text):
-        inside[m.start() : m.end()] = True
-    for m in re.finditer(r"\S+", text):
-        gain[m.start() + 1] = 1 if inside[m.start() : m.end()].any() else -1
-    return np.cumsum(gain)
+def scores(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """For each page the share of its words in stuffed units and the share of its characters in units without clauses
+    that repeats cover."""
+    n = len(texts)
+    text = "\0".join(texts)
+    page_end = np.cumsum([len(t) + 1 for t in texts])
+    codes = _codes(text)
+    kind = _KIND[np.minimum(codes, 0x3000)]
+    codes = np.where(codes < 0x3000, _SMALL[np.minimum(codes, 0x3000)], codes)
+    first = np.flatnonzero((kind != SPACE) & np.r_[True, (kind[1:] != kind[:-1]) | (kind[1:] >= LINE)])
+    if not len(first):
+        return np.zeros(n), np.zeros(n)
+    edge = np.r_[np.flatnonzero(kind[1:] != kind[:-1]) + 1, len(kind)]
+    stop = np.where(kind[first] >= LINE, first + 1, edge[np.searchsorted(edge, first, "right")])
+    sort, page = kind[first], np.searchsorted(page_end, first, "right")
+    hashed = _hashes(codes, first, stop - first)
+    link, markup = _inside(_LINK, text)[first], _inside(_MARKUP, text)[first]
+    linked = _inside(_ELEMENT, text)[first]
+    tag = (sort == LETTER) & (codes[np.maximum(first - 1, 0)] == 35) & (first > 0)
+    # Units end at line breaks and behind a stop mark before white space; and with their page.
+    blank = np.r_[kind[1:] == SPACE, True] | np.r_[kind[1:] == LINE, True]
+    ends = (sort == LINE) | np.isin(codes[first], (33, 46, 63, 0x2026)) & blank[first] & ~link
+    unit = np.cumsum(np.r_[0, ends[:-1] | (page[1:] != page[:-1])])
+    word = (sort == LETTER) | (sort == DIGIT)
+    said = (sort == LETTER) & ~link & ~markup & ~tag
+    function = said & np.isin(hashed, _GRAMMAR)
+    # Items: what lies from one separator, or the begin of a unit, to the next.
+    separator = np.isin(codes[first], _SEPARATORS) & ~link & ~markup
+    change = np.r_[True, unit[1:] != unit[:-1]]
+    item = np.cumsum(change | separator) - 1
+    opens = np.flatnonzero(change | separator)
+    beside = separator[opens] | np.r_[~change[opens[1:]], False]
+    words = np.bincount(item, said)
+    listed = (beside & (words > 0) & (words <= ITEM) & (np.bincount(item, function) == 0))[item] & said
+    # Symbols: words by their hash; numbers, words of links, hashtags and words of items as one each.
+    symbol = np.select([sort == DIGIT, word & link, tag, listed], [np.uint64(i) for i in range(1, 5)], hashed)
+    symbol = pd.factorize(symbol)[0].astype(np.int64)
+    mask = covered(symbol, first, stop, page)
+    of = page[np.searchsorted(unit, np.arange(unit[-1] + 1))]
+    count = lambda what: np.bincount(unit, what, minlength=len(of))
+    begins = np.r_[True, (first[1:] > stop[:-1]) | (sort[:-1] == LINE)]  # runs of characters without white space
+    grammar, plain = count(function), count(said | (sort == DIGIT) & ~link & ~markup)
+    runs, in_links = count(begins & (sort != LINE)), count(begins & linked & (sort != LINE))
+    clause = (grammar >= np.maximum(1, CLAUSE * plain)) & (2 * in_links <= runs)
+    size, hit = count(stop - first), count((stop - first) * mask)
+    of_page = lambda what: np.bincount(of, what, minlength=n)
+    bare, bare_hit = of_page(size * ~clause), of_page(hit * ~clause)
+    everywhere = (bare_hit >= PAGE_COVERED * bare)[of]
+    stuffed = ~clause & (hit > 0) & (everywhere | (hit >= COVERED * size))
+    total = np.maximum(of_page(runs), 1)
+    return of_page(runs * stuffed) / total, bare_hit / np.maximum([len(t) for t in texts], 1)
 
 
 def stuffed_share(text: str) -> tuple[float, float]:
-    """Share of the page's words in stuffed units, and share of its characters in clause-free units that repeats cover."""
-    units = [(m.start(), m.end(), len(m.group().split()), _clauses(m.group())) for m in _UNIT.finditer(text)]
-    linked: set[int] = set()
-    if _ELEMENT.search(text):
-        gain = _linked(text)
-        linked = {a for a, b, _, _ in units if gain[b] > gain[a]}
-        units = [(a, b, n, clauses and a not in linked) for a, b, n, clauses in units]
-    total = sum(n for _, _, n, _ in units)
-    bare = [u for u in units if not u[3]]
-    if total < MIN_WORDS or 2 * sum(n for _, _, n, _ in bare) <= total:
-        return 0.0, 0.0
-    mask = covered(text)
-    stuffed = 0
-    chars = sum(int(mask[a:b].sum()) for a, b, _, _ in bare)
-    everywhere = chars >= PAGE_COVERED * sum(b - a for a, b, _, _ in bare)
-    for a, b, n, _ in bare:
-        unit, hits = text[a:b], int(mask[a:b].sum())
-        links = sum(len(m.group().split()) for m in _LINK.finditer(unit)) + len(_TAG.findall(unit))
-        marks = bool(_PRICE.search(unit)) or len(_LIST.findall(unit)) >= max(5, n / 4)
-        repeats = hits / (b - a)
-        if everywhere or a in linked or repeats >= COVERED or links * 3 >= n or links and _PATH.search(unit) or marks and (n >= 15 or repeats >= COVERED / 2):
-            stuffed += n
-    return stuffed / total, chars / len(text)
+    """scores() of one page."""
+    a, b = scores([text])
+    return float(a[0]), float(b[0])
 
 
 def find_stuffed(docs: DataFrame, key: str = "doc_id", text: str = "text", share: float = 0.5) -> DataFrame:
@@ -159,9 +277,11 @@ def find_stuffed(docs: DataFrame, key: str = "doc_id", text: str = "text", share
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            scores = [stuffed_share(t) for t in b.iloc[:, 1]]
-            out = pd.DataFrame({key: b.iloc[:, 0], "stuffed": [s for s, _ in scores], "repeated": [r for _, r in scores]})
-            yield out[out.stuffed > share]
+            size = b.iloc[:, 1].str.len().cumsum().to_numpy()
+            for _, part in b.groupby(size // CHARS, sort=False):
+                stuffed, repeated = scores(part.iloc[:, 1].tolist())
+                out = pd.DataFrame({key: part.iloc[:, 0], "stuffed": stuffed, "repeated": repeated})
+                yield out[out.stuffed > share]
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, text).filter(F.length(text) > 0).mapInPandas(run, f"{key} {kind}, stuffed double, repeated double")

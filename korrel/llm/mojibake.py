@@ -31,6 +31,7 @@ SINGLE = ("cp850", "cp437", "mac_roman", "cp1251", "koi8-r", "cp866", "cp1250",
 _RUN = re.compile(r"[^\x00-\x7f]{2,}")
 _CONTROL = re.compile(r"[\x80-\x9f]")
 _ODD = re.compile(r"[\x80-\x9f�]")
+_LOST_SPACE = re.compile(r"(?<![^\W\d_])Ã(?: (?= )|(?= \S))")
 _QUOTES = "‐‑–—‘’‚“”„…´`¨ˆ˜•"
 _UNITS = "µμ°ΩÅÂÃ"
 _LETTERS = "àáâãäåæçèéêëìíîïñòóôõöøùúûüýÿßœšž"
@@ -120,9 +121,10 @@ def _decode_run(text: str, start: int, end: int) -> tuple[str, int]:
 
 
 def _multibyte(text: str) -> tuple[str, int]:
-    """All runs of a text, repeated while they change; the number of spans decoded."""
+    """All runs of a text, repeated while they change; the number of spans decoded. It ends, because every pass that
+    decodes a span shortens the text."""
     total = 0
-    for _ in range(4):
+    while True:
         parts, last, hits = [], 0, 0
         for m in _RUN.finditer(text):
             fixed, covered = _decode_run(text, m.start(), m.end())
@@ -134,6 +136,8 @@ def _multibyte(text: str) -> tuple[str, int]:
             break
         text = "".join([*parts, text[last:]])
         total += hits
+    if total:  # an à whose second byte, a no-break space, was made a plain space
+        text = _LOST_SPACE.sub("à", text)
     return text, total
 
 

@@ -46,16 +46,19 @@ def p5_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return overlap.cross_split_pairs(read(spark, d, "documents"))
+    return overlap.classes(read(spark, d, "documents"))[1]
+
+
+def p6_members(spark: SparkSession, d: str) -> DataFrame:
+    return overlap.classes(read(spark, d, "documents"))[0]
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return p6_pairs(spark, d).select(F.least("eval_id", "train_id").alias("doc_id_a"), F.greatest("eval_id", "train_id").alias("doc_id_b"))
+    return overlap.cross_split_pairs(read(spark, d, "documents")).select(F.least("eval_id", "train_id").alias("doc_id_a"), F.greatest("eval_id", "train_id").alias("doc_id_b"))
 
 
 def p6_report(spark: SparkSession, d: str) -> DataFrame:
-    docs = read(spark, d, "documents")
-    return overlap.report(docs, overlap.cross_split_pairs(docs))
+    return overlap.report(read(spark, d, "documents"))
 
 
 def p6_exact(spark: SparkSession, d: str) -> DataFrame:
@@ -93,6 +96,7 @@ QUERIES = {
     "p5_fill": p5_fill,
     "p6_found": p6_found,
     "p6_pairs": p6_pairs,
+    "p6_members": p6_members,
     "p6_report": p6_report,
     "p6_exact": p6_exact,
     "p7_ids": p7_ids,

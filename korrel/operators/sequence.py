@@ -14,6 +14,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from korrel.ordering import hash_ordinal, md5_of, ordinal, uniform
+from korrel.session import broadcast_if_small, cut
+
+#: Rows of one worker of reservoir_shuffle, where the number of workers is not given.
+WORKER_ROWS = 1_000_000
 
 
 def shuffled(df: DataFrame, key: str, seed: object = 42, groups: Sequence[str] = ()) -> DataFrame:
@@ -22,9 +26,12 @@ def shuffled(df: DataFrame, key: str, seed: object = 42, groups: Sequence[str] =
 
 
 def windowed_shuffle(df: DataFrame, key: str, window: int, iterations: int = 1, seed: object = 42) -> DataFrame:
-    """Rows are shuffled inside windows of the current order, the windows among themselves; repeated."""
+    """Rows are shuffled inside windows of the current order, the windows among themselves; repeated. The order is cut
+    off from what made it between iterations; pass keys alone, the other columns can be joined to the result."""
     out = ordinal(df, [key], "pos")
     for i in range(iterations):
+        if i:
+            out = cut(out)
         w = F.floor(F.col("pos") / window)
         keyed = out.withColumn("__w", md5_of(f"{seed}:{i}:w", w)).withColumn("__r", md5_of(f"{seed}:{i}:r", key)).drop("pos")
         out = ordinal(keyed, ["__w", "__r", key], "pos").drop("__w", "__r")
@@ -54,9 +61,10 @@ def reservoir_order(keys: Sequence, buffer: int, seed: int, shuffle: bool = True
     return out + held
 
 
-def reservoir_shuffle(df: DataFrame, key: str, workers: int, buffer: int, seed: int = 42) -> DataFrame:
+def reservoir_shuffle(df: DataFrame, key: str, workers: int | None, buffer: int, seed: int = 42) -> DataFrame:
     """Each worker (rows dealt by key hash) runs its own buffer over its rows in key order; pos counts per worker. Only
-    keys enter Python; a worker's share is 1/workers of the keys, so workers is to grow with the data."""
+    keys enter Python. Without a number of workers there is one per WORKER_ROWS counted rows, and 8 at least."""
+    workers = workers or max(8, -(-df.count() // WORKER_ROWS))
     keys = df.select(key, F.pmod(F.xxhash64(key), F.lit(workers)).cast("int").alias("worker"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -104,14 +112,13 @@ def distributed_sample(df: DataFrame, key: str, replicas: int, epoch: int = 0, s
 
 
 def interleave(df: DataFrame, key: str, source: str) -> DataFrame:
-    """Round robin over sources until the first one is used up: pos is the place of each row that is taken."""
+    """Round robin over sources until the first one is used up: pos is the place of each row that is taken. Sources are
+    numbered in the order of their names by ``ordinal``, whatever their number; rows without a source take no part."""
     placed = hash_numbered(df, key, source)
-    names = sorted(r[0] for r in df.select(source).filter(F.col(source).isNotNull()).distinct().limit(100_001).collect())
-    if len(names) > 100_000:
-        raise ValueError("too many sources to interleave")
-    least = df.filter(F.col(source).isNotNull()).groupBy(source).count().agg(F.min("count").alias("n")).collect()[0]["n"] or 0
-    rank = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i))])[F.col(source)] if names else F.lit(0)
-    return placed.filter(F.col("k") < least).withColumn("pos", F.col("k") * len(names) + rank).drop("k")
+    counts = df.filter(F.col(source).isNotNull()).groupBy(source).agg(F.count(F.lit(1)).alias("__n"))
+    least, names = counts.agg(F.coalesce(F.min("__n"), F.lit(0)), F.count(F.lit(1))).collect()[0]
+    rank = broadcast_if_small(ordinal(counts.select(source), [source], "__rank"))
+    return placed.filter(F.col("k") < least).join(rank, source).withColumn("pos", F.col("k") * names + F.col("__rank")).drop("k", "__rank")
 
 
 def hash_numbered(df: DataFrame, key: str, source: str) -> DataFrame:

@@ -50,7 +50,7 @@ def block_buffer_shuffle(spark: SparkSession, d: str) -> DataFrame:
 
 
 def reservoir_shuffle(spark: SparkSession, d: str) -> DataFrame:
-    return s.reservoir_shuffle(_keys(spark, d).select("doc_id"), "doc_id", 8, BUFFER)
+    return s.reservoir_shuffle(_keys(spark, d).select("doc_id"), "doc_id", None, BUFFER)
 
 
 def file_order(spark: SparkSession, d: str) -> DataFrame:

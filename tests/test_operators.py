@@ -187,3 +187,31 @@ def test_sinks(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "j")).count() == 2049
     moved = sinks.dry_run(files.listing(spark, str(tmp_path / "r")), str(tmp_path), "out").collect()
     assert all(x.target.startswith("out/r/") for x in moved)
+
+
+def test_ordinals_of_many_buckets(spark):
+    import random
+
+    from korrel.ordering import hash_ordinal, ordinal
+
+    rng = random.Random(3)
+    rows = [(None if i % 11 == 0 else "hot" if i % 3 else rng.choice("abcdef"), i) for i in rng.sample(range(20_000), 6000)]
+    df = spark.createDataFrame(rows, "s string, i bigint")
+    got = [(r.s, r.i) for r in ordinal(df, ["s", "i"], bucket_rows=20).orderBy("pos").collect()]
+    assert got == sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1]))
+    assert sorted(r.pos for r in hash_ordinal(df, 1, ["i"], bucket_rows=2).collect()) == list(range(6000))
+    per = hash_ordinal(df, 1, ["i"], groups=["s"], bucket_rows=2).groupBy("s").agg(F.max("pos").alias("m"), F.count("*").alias("n")).collect()
+    assert all(r.m == r.n - 1 for r in per)
+    assert ordinal(df.limit(0), ["s", "i"]).count() == 0
+
+
+def test_buckets_stay_below_their_bound(spark, monkeypatch):
+    from korrel import ordering
+
+    seen = []
+    number = ordering._number
+    monkeypatch.setattr(ordering, "_number", lambda df, bucket, *a: seen.append(df.groupBy(bucket).count().agg(F.max("count")).collect()[0][0]) or number(df, bucket, *a))
+    df = spark.range(30_000).withColumn("s", F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.col("id").cast("string")))
+    ordering.ordinal(df, ["s", "id"], bucket_rows=100)
+    ordering.hash_ordinal(df, 7, ["id"], bucket_rows=100)
+    assert max(seen) <= 400

@@ -275,6 +275,25 @@ def test_pack(spark):
     assert pack.pack(items.limit(0)).count() == 0
 
 
+def test_pack_of_many_groups(spark, monkeypatch):
+    monkeypatch.setattr(pack, "GROUP_ITEMS", 300)
+    rng = random.Random(4)
+    rows = [(i, [i % 50 + 3] * (7 if i % 3 else rng.randint(1, 150)), None) for i in range(2000)]
+    items = spark.createDataFrame(rows, "item_id bigint, input_ids array<int>, attention_mask array<int>")
+    got = pack.pack(items, capacity=64).collect()
+    want = {(i, f): ids[f * 64 : f * 64 + 64] for i, ids, _ in rows for f in range(-(-len(ids) // 64))}
+    seen = {}
+    for r in got:
+        assert r.used == len(r.input_ids) <= 64 and r.n_items == len(r.members)
+        at = 0
+        for m in r.members:
+            seen[(m.item_id, m.frag_ix)] = r.input_ids[at : at + m.n]
+            at += m.n
+    assert seen == want and len({r.container_id for r in got}) == len(got)
+    report = {r.method: r for r in pack.fill_report(items, capacity=64).collect()}
+    assert report["harmonic_refined"].containers == len(got) <= report["harmonic"].containers and report["harmonic_refined"].fill > 0.9
+
+
 # -- 6: overlaps -------------------------------------------------------------------------------------------------------
 
 

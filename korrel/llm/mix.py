@@ -29,7 +29,6 @@ from korrel.session import broadcast_if_small, cut
 
 #: Rates tried around a source's rate when it is fitted to the draws.
 GRID = np.exp(np.linspace(-0.45, 0.45, 91))
-MAX_SOURCES = 100_000
 
 
 def capped_cdf(rate: float, cap: int) -> list[float]:
@@ -63,85 +62,86 @@ def rate_for(mean: float, cap: int) -> float:
     return high
 
 
-def plan_rates(tokens: dict[str, int], targets: dict[str, tuple[float, int]]) -> dict[str, tuple[float, float, int]]:
-    """source -> (target share, rate, cap)."""
-    usable = {s: w for s, (w, cap) in targets.items() if w > 0 and cap > 0 and tokens.get(s, 0) > 0}
-    weight = sum(usable.values())
-    if not usable:
-        return {}
-    size = min(targets[s][1] * tokens[s] * weight / w for s, w in usable.items())
-    return {s: (w / weight, rate_for(size * w / weight / tokens[s], targets[s][1]), targets[s][1]) for s, w in usable.items()}
+def _goals(targets: DataFrame) -> DataFrame:
+    """source, target_weight, max_repeats; one row per source."""
+    best = F.max(F.struct(F.coalesce("target_weight", F.lit(0.0)).cast("double").alias("w"), F.coalesce("max_repeats", F.lit(0)).cast("int").alias("c"))).alias("t")
+    return targets.filter("source is not null").groupBy("source").agg(best).select("source", F.col("t.w").alias("target_weight"), F.col("t.c").alias("max_repeats"))
 
 
-def target_rows(targets: DataFrame) -> dict[str, tuple[float, int]]:
-    rows = targets.select("source", "target_weight", "max_repeats").filter("source is not null").groupBy("source").agg(F.max(F.struct(F.coalesce("target_weight", F.lit(0.0)).alias("w"), F.coalesce("max_repeats", F.lit(0)).alias("c"))).alias("t")).limit(MAX_SOURCES + 1).collect()
-    if len(rows) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} target sources")
-    return {r["source"]: (float(r["t"]["w"]), int(r["t"]["c"])) for r in rows}
+def plan_rates(tokens: DataFrame, goals: DataFrame) -> DataFrame:
+    """source, target_share, rate, cap, goal (tokens) of every source that can be in the mixture: weight, cap and tokens
+    above 0. One row per source, in frames throughout, so the number of sources has no bound."""
+    have = goals.join(tokens, "source").filter("target_weight > 0 and max_repeats > 0 and tokens > 0")
+    weight, size = have.agg(F.sum("target_weight"), F.min(F.col("max_repeats") * F.col("tokens") / F.col("target_weight"))).collect()[0]
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            b["rate"] = [rate_for(g / t, c) for g, t, c in zip(b.goal, b.tokens, b.cap)]
+            yield b[["source", "target_share", "rate", "cap", "goal"]]
+
+    goal = F.col("target_weight") * F.lit(float(size or 0.0))
+    rows = have.select("source", (F.col("target_weight") / F.lit(float(weight or 1.0))).alias("target_share"), F.col("max_repeats").alias("cap"), goal.alias("goal"), "tokens")
+    return rows.mapInPandas(run, "source string, target_share double, rate double, cap int, goal double")
 
-def _fit(sizes: DataFrame, plan: dict[str, tuple[float, float, int]], goal: dict[str, float]) -> dict[str, float]:
-    """Rates at which the draws actually made come nearest to the goal tokens."""
-    tables = {s: [np.array(capped_cdf(rate * g, cap)) for g in GRID] for s, (_, rate, cap) in plan.items() if 0 < rate < math.inf}
-    if not tables:
-        return {}
+
+def _fit(sizes: DataFrame, plan: DataFrame) -> DataFrame:
+    """source, cdf: the capped distributions at the rates of the grid at which the draws made come nearest to the goal."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tables: dict[tuple[float, int], list[np.ndarray]] = {}
         sums: dict[str, np.ndarray] = {}
         for b in batches:
-            for s, g in b.groupby("source"):
-                if s in tables:
-                    u, n = g.u.to_numpy(), g.n_tokens.to_numpy()
-                    sums[s] = sums.get(s, 0) + np.array([(np.searchsorted(t, u, side="left") * n).sum() for t in tables[s]])
+            for (s, rate, cap), g in b.groupby(["source", "rate", "cap"]):
+                if (rate, cap) not in tables:
+                    tables[rate, cap] = [np.array(capped_cdf(rate * x, cap)) for x in GRID]
+                u, n = g.u.to_numpy(), g.n_tokens.to_numpy()
+                sums[s] = sums.get(s, 0) + np.array([(np.searchsorted(t, u, side="left") * n).sum() for t in tables[rate, cap]])
         yield pd.DataFrame([(s, i, int(v)) for s, a in sums.items() for i, v in enumerate(a)], columns=["source", "i", "tokens"])
 
-    made: dict[str, np.ndarray] = {s: np.zeros(len(GRID)) for s in tables}
-    for r in sizes.select("source", "u", "n_tokens").mapInPandas(run, "source string, i int, tokens bigint").groupBy("source", "i").agg(F.sum("tokens").alias("tokens")).collect():
-        made[r["source"]][r["i"]] = r["tokens"]
-    fitted = {}
-    for s, sums in made.items():
-        at = int(np.argmin(np.abs(sums - goal[s])))
-        fitted[s] = plan[s][1] * float(GRID[at])
-    return fitted
-
-
-def _sized(docs: DataFrame, targets: dict[str, tuple[float, int]], path: str, seed: object) -> DataFrame:
-    names = docs.sparkSession.createDataFrame([(s,) for s in targets], "source string")
-    mine = docs.select("doc_id", "source", "text").join(broadcast_if_small(names), "source", "left_semi")
-    return cut(count_tokens(mine, ["doc_id", "source"], "text", path).withColumn("u", uniform(seed, "doc_id")))
-
-
-def counted(docs: DataFrame, targets: DataFrame, path: str = VOCABULARY, seed: object = "mix") -> tuple[DataFrame, dict]:
-    """doc_id, source, n_tokens, copies of every document of a target source, and the plan by source."""
-    goals = target_rows(targets)
-    sizes = _sized(docs, goals, path, seed)
-    tokens = {r["source"]: r["t"] for r in sizes.groupBy("source").agg(F.sum("n_tokens").alias("t")).collect()}
-    plan = plan_rates(tokens, goals)
-    fitted = _fit(sizes, plan, {s: tokens[s] * capped_mean(rate, cap) for s, (_, rate, cap) in plan.items()})
-    table = [(s, capped_cdf(fitted.get(s, rate), cap)) for s, (_, rate, cap) in plan.items()]
-    spark = docs.sparkSession
-    cdf = broadcast_if_small(spark.createDataFrame(table, "source string, cdf array<double>"))
-    copies = F.coalesce(F.size(F.filter("cdf", lambda c: c < F.col("u"))), F.lit(0))
-    out = sizes.join(cdf, "source", "left").select("doc_id", "source", "n_tokens", F.greatest(copies, F.lit(0)).alias("copies"))
-    return out, {"targets": goals, "plan": plan}
+    def cdfs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            b["cdf"] = [capped_cdf(r * float(GRID[int(i)]) if i >= 0 else r, c) for r, c, i in zip(b.rate, b.cap, b.i)]
+            yield b[["source", "cdf"]]
+
+    drawn = sizes.select("source", "u", "n_tokens").join(broadcast_if_small(plan.select("source", "rate", "cap")), "source")
+    made = drawn.mapInPandas(run, "source string, i int, tokens bigint").groupBy("source", "i").agg(F.sum("tokens").alias("tokens"))
+    best = made.join(plan.select("source", "goal"), "source").groupBy("source").agg(F.min(F.struct(F.abs(F.col("tokens") - F.col("goal")).alias("d"), "i")).alias("m"))
+    fitted = plan.join(best.select("source", F.col("m.i").alias("i")), "source", "left").select("source", "rate", "cap", F.coalesce("i", F.lit(-1)).alias("i"))
+    return fitted.mapInPandas(cdfs, "source string, cdf array<double>")
+
+
+def _planned(docs: DataFrame, targets: DataFrame, path: str, seed: object) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Sizes and draws of the documents of target sources (kept: doc_id, source, n_tokens, u, no texts), goals, plan and
+    the fitted distributions."""
+    goals = _goals(targets)
+    mine = docs.select("doc_id", "source", "text").join(broadcast_if_small(goals.select("source")), "source", "left_semi")
+    sizes = cut(count_tokens(mine, ["doc_id", "source"], "text", path).withColumn("u", uniform(seed, "doc_id")))
+    plan = cut(plan_rates(sizes.groupBy("source").agg(F.sum("n_tokens").alias("tokens")), goals))
+    return sizes, goals, plan, cut(_fit(sizes, plan))
+
+
+def _copies() -> F.Column:
+    """How often a document is used: the places of the distribution that its draw exceeds."""
+    return F.coalesce(F.size(F.filter("cdf", lambda c: c < F.col("u"))), F.lit(0))
 
 
 def mixture(docs: DataFrame, targets: DataFrame, path: str = VOCABULARY, seed: object = "mix") -> DataFrame:
-    """The mixture in global shuffle order: shuffle_key, doc_id, source, copy, n_tokens, text."""
-    use, _ = counted(docs, targets, path, seed)
-    rows = use.filter("copies > 0").select("doc_id", "n_tokens", "copies").join(docs.select("doc_id", "source", "text"), "doc_id")
-    out = rows.select("doc_id", "source", F.explode(F.sequence(F.lit(1), "copies")).alias("copy"), "n_tokens", "text")
-    return out.select(md5_of(seed, "doc_id", "copy").alias("shuffle_key"), "*").orderBy("shuffle_key", "doc_id", "copy")
+    """The mixture in global shuffle order: shuffle_key, doc_id, source, copy, n_tokens, text. The draws depend on the key
+    alone, so documents are drawn in a narrow pass and only drawn texts are shuffled, once; their tokens are counted
+    behind the shuffle."""
+    _, _, _, cdf = _planned(docs, targets, path, seed)
+    drawn = docs.select("doc_id", "source", "text", uniform(seed, "doc_id").alias("u")).join(broadcast_if_small(cdf), "source").withColumn("copies", _copies()).filter("copies > 0")
+    rows = drawn.select("doc_id", "source", F.explode(F.sequence(F.lit(1), "copies")).alias("copy"), "text")
+    out = rows.select(md5_of(seed, "doc_id", "copy").alias("shuffle_key"), "*").orderBy("shuffle_key", "doc_id", "copy")
+    return count_tokens(out, ["shuffle_key", "doc_id", "source", "copy", "text"], "text", path).select("shuffle_key", "doc_id", "source", "copy", "n_tokens", "text")
 
 
 def shares(docs: DataFrame, targets: DataFrame, path: str = VOCABULARY, seed: object = "mix") -> DataFrame:
     """Target and actual share of every target source, and how its documents were used."""
-    use, info = counted(docs, targets, path, seed)
-    spark = docs.sparkSession
-    rows = [(s, w, c, float(info["plan"].get(s, (0.0,))[0])) for s, (w, c) in info["targets"].items()]
-    goals = spark.createDataFrame(rows, "source string, target_weight double, max_repeats int, target_share double")
-    used = use.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum((F.col("copies") > 0).cast("bigint")).alias("docs_used"), F.max("copies").alias("most_copies"), F.sum(F.col("copies") * F.col("n_tokens")).alias("tokens"))
+    sizes, goals, plan, cdf = _planned(docs, targets, path, seed)
+    use = sizes.join(broadcast_if_small(cdf), "source", "left").withColumn("copies", F.greatest(_copies(), F.lit(0)))
+    used = cut(use.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum((F.col("copies") > 0).cast("bigint")).alias("docs_used"), F.max("copies").alias("most_copies"), F.sum(F.col("copies") * F.col("n_tokens")).alias("tokens")))
     total = used.agg(F.sum("tokens").alias("n")).collect()[0]["n"] or 0
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("bigint")).alias(c)
-    out = goals.join(used, "source", "left")
-    return out.select("source", "target_weight", "max_repeats", "target_share", zero("docs"), zero("docs_used"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"), zero("tokens"), F.coalesce(F.col("tokens") / F.lit(max(total, 1)), F.lit(0.0)).alias("actual_share"))
+    out = goals.join(plan.select("source", "target_share"), "source", "left").join(used, "source", "left")
+    return out.select("source", "target_weight", "max_repeats", F.coalesce("target_share", F.lit(0.0)).alias("target_share"), zero("docs"), zero("docs_used"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"), zero("tokens"), F.coalesce(F.col("tokens") / F.lit(max(total, 1)), F.lit(0.0)).alias("actual_share"))

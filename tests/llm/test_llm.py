@@ -378,8 +378,14 @@ def test_rates():
     for mean, cap in ((0.3, 1), (1.2, 3), (2.9, 3), (0.01, 8)):
         assert abs(mix.capped_mean(mix.rate_for(mean, cap), cap) - mean) < 1e-6
     assert mix.rate_for(3, 3) == float("inf") and mix.rate_for(0, 3) == 0.0
-    plan = mix.plan_rates({"a": 100, "b": 50, "z": 10}, {"a": (1.0, 2), "b": (3.0, 4), "c": (1.0, 1), "d": (0.0, 5)})
-    assert set(plan) == {"a", "b"} and abs(sum(x[0] for x in plan.values()) - 1) < 1e-12
+
+
+def test_plan_of_sources(spark):
+    tokens = spark.createDataFrame([("a", 100), ("b", 50), ("z", 10)], "source string, tokens bigint")
+    goals = spark.createDataFrame([("a", 1.0, 2), ("b", 3.0, 4), ("c", 1.0, 1), ("d", 0.0, 5)], "source string, target_weight double, max_repeats int")
+    plan = {r.source: r for r in mix.plan_rates(tokens, goals).collect()}
+    assert set(plan) == {"a", "b"} and abs(sum(r.target_share for r in plan.values()) - 1) < 1e-12
+    assert plan["b"].rate == float("inf") and abs(plan["b"].goal - 200) < 1e-9
 
 
 def test_mixture(spark, tokenizer):

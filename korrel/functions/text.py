@@ -6,7 +6,7 @@ Null texts give null unless a function says otherwise; empty texts are legal eve
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -82,9 +82,11 @@ def collapse_repeated_words(c: Column | str) -> Column:
     return F.regexp_replace(col(c), r"(?U)\b(\w{2,})(?:[\s,.]+\1\b)++", "$1")
 
 
-def clean(c: Column | str) -> Column:
-    """Normaliser: strip, collapse repeated signs, repeated words and white space, in that order."""
-    return collapse_spaces(collapse_repeated_words(collapse_repeated_signs(strip(c))))
+def clean(c: Column | str, repair: Callable[[Column], Column] | None = None) -> Column:
+    """Normaliser: repair of the decoding, if a function for it is given (stable.repair_encoding, or one of the caller's),
+    strip, collapse repeated signs, repeated words and white space, in that order."""
+    fixed = repair(col(c)) if repair else col(c)
+    return collapse_spaces(collapse_repeated_words(collapse_repeated_signs(strip(fixed))))
 
 
 def sanitize(c: Column | str) -> Column:

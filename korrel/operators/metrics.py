@@ -50,20 +50,48 @@ def aligned(step: Column, accumulate: int) -> Column:
     return F.greatest(F.ceil(step / accumulate) * accumulate, F.lit(accumulate))
 
 
-def mlm(ids: Column, key: str, specials: tuple[int, ...], mask_id: int, vocabulary: int, rate: float = 0.15, mask_all: bool = False, seed: object = "mlm") -> tuple[Column, Column]:
-    """(masked ids, labels): a draw per place selects it; of the selected, 8 in 10 become mask_id, 1 in 10 a drawn id
-    and 1 in 10 stay (all become mask_id if mask_all). Labels are -100 elsewhere; specials are never selected."""
+def mlm(df: DataFrame, ids: str, key: str, specials: tuple[int, ...], mask_id: int, vocabulary: int, rate: float = 0.15, mask_all: bool = False, seed: object = "mlm") -> DataFrame:
+    """df with masked (masked ids) and labels: a draw per place selects it; of the selected, 8 in 10 become mask_id, 1 in
+    10 a drawn id and 1 in 10 stay (all become mask_id if mask_all). Labels are -100 elsewhere; specials are never
+    selected. Each place is drawn once, into an array that ids and labels share."""
     draw = lambda s, i: uniform(f"{seed}{s}", F.col(key), i)
-    chosen = lambda x, i: ~x.isin(*specials) & (draw("s", i) < rate)
+    how = (lambda i: F.lit(0.0)) if mask_all else (lambda i: draw("h", i))
+    drawn = df.withColumn("__how", F.transform(ids, lambda x, i: F.when(~x.isin(*specials) & (draw("s", i) < rate), how(i))))
 
     def masked(x: Column, i: Column) -> Column:
-        if mask_all:
-            return F.when(chosen(x, i), F.lit(mask_id)).otherwise(x)
-        how = draw("h", i)
-        other = F.floor(draw("r", i) * vocabulary).cast("int")
-        return F.when(~chosen(x, i), x).when(how < 0.8, F.lit(mask_id)).when(how < 0.9, other).otherwise(x)
-
-    return F.transform(ids, masked), F.transform(ids, lambda x, i: F.when(chosen(x, i), x).otherwise(F.lit(-100)))
+        h = F.get(F.col("__how"), i)
+        return F.when(h.isNull(), x).when(h < 0.8, F.lit(mask_id)).when(h < 0.9, F.floor(draw("r", i) * vocabulary).cast("int")).otherwise(x)
+
+    labels = F.transform(ids, lambda x, i: F.when(F.get(F.col("__how"), i).isNull(), F.lit(-100)).otherwise(x))
+    return drawn.withColumns({"masked": F.transform(ids, masked), "labels": labels}).drop("__how")
+
+
+def cosine(a: Column | str, b: Column | str) -> Column:
+    """Cosine similarity of two arrays of one size; 0 where a norm is 0, null where the sizes differ."""
+    x, y = (F.col(c) if isinstance(c, str) else c for c in (a, b))
+    dot = lambda u, v: F.aggregate(F.zip_with(u, v, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, t: s + t)
+    norm = F.sqrt(dot(x, x) * dot(y, y))
+    return F.when(F.size(x) == F.size(y), F.when(norm > 0, dot(x, y) / norm).otherwise(F.lit(0.0)))
+
+
+def contrastive(df: DataFrame, group: str, place: str, first: str, second: str, temperature: float = 0.1) -> DataFrame:
+    """group, n and loss of in-batch contrast: each of the two views of a row must find the other one among all views of
+    its batch but itself. Rows of a batch go to one task, so a batch is to be of bounded size; norms of 0 stay 0."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(place)
+        unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+        x, y = (unit(np.array(pdf[c].tolist(), float)) for c in (first, second))
+        n, queue = len(x), np.concatenate([x, y])
+        total = 0.0
+        for own, offset in ((x, 0), (y, n)):
+            logits = own @ queue.T / temperature
+            logits[np.arange(n), offset + np.arange(n)] = -1e3
+            top = logits.max(1, keepdims=True)
+            total += float((np.log(np.exp(logits - top).sum(1)) + top[:, 0] - logits[np.arange(n), n - offset + np.arange(n)]).mean()) / 2
+        return pd.DataFrame({group: [pdf[group].iloc[0]], "n": [n], "loss": [total]})
+
+    return df.select(group, place, first, second).groupBy(group).applyInPandas(run, f"{group} {df.schema[group].dataType.simpleString()}, n bigint, loss double")
 
 
 def covariance_sums(df: DataFrame, vector: str, size: int) -> tuple[int, np.ndarray, np.ndarray]:

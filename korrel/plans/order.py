@@ -113,6 +113,14 @@ def lockstep_steps(spark: SparkSession, d: str) -> DataFrame:
     return sharded.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).select("shard", "n", F.lit(limit).cast("bigint").alias("steps"), (F.lit(limit) * 8).cast("bigint").alias("used"))
 
 
+def lockstep_accumulated(spark: SparkSession, d: str) -> DataFrame:
+    """The same where shards look at each other only every fourth step."""
+    sharded = _keys(spark, d).select("doc_id", F.pmod("doc_id", F.lit(SHARDS)).cast("int").alias("shard"))
+    counts = {r["shard"]: r["count"] for r in sharded.groupBy("shard").count().collect()}
+    limit = s.lockstep_limit(counts, 8, 4)
+    return sharded.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).select("shard", "n", F.lit(limit).cast("bigint").alias("steps"))
+
+
 def train_val_percent(spark: SparkSession, d: str) -> DataFrame:
     """Where there is no validation split: the first 5 per cent of the rows, rounded."""
     docs = _keys(spark, d).select("doc_id")
@@ -169,7 +177,7 @@ def _windowed(source: str, it: int) -> str:
 _SAMPLER = f"""o as (select doc_id, row_number() over (order by {_MD5(3, 'doc_id')}, doc_id) - 1 as pos from documents), n as (select count(*) as n from documents)"""
 _PICK = "case " + " ".join(f"when u >= {e} then '{n}'" for e, n in ((0.5, "richtlijn_mt"), (0.2, "bijsluiter_eu"), (0.0, "abstract_en"))) + " end"
 
-QUERIES = {f.__name__: f for f in (full_shuffle, shuffle_all_splits, windowed_shuffle, windowed_shuffle_twice, merge_and_shuffle, block_buffer_shuffle, reservoir_shuffle, file_order, two_level_stream, shard_strided, shard_contiguous, file_ntile_split, fixed_partitions, distributed_sampler, distributed_sampler_drop_last, batch_keep_last, batch_drop_last, sample_hundred, head_rows, lockstep_steps, train_val_percent, split_load, interleave_equal, interleave_weighted, interleave_weighted_whole, global_ordinal, steps_per_epoch, uniform_draws)}
+QUERIES = {f.__name__: f for f in (full_shuffle, shuffle_all_splits, windowed_shuffle, windowed_shuffle_twice, merge_and_shuffle, block_buffer_shuffle, reservoir_shuffle, file_order, two_level_stream, shard_strided, shard_contiguous, file_ntile_split, fixed_partitions, distributed_sampler, distributed_sampler_drop_last, batch_keep_last, batch_drop_last, sample_hundred, head_rows, lockstep_steps, lockstep_accumulated, train_val_percent, split_load, interleave_equal, interleave_weighted, interleave_weighted_whole, global_ordinal, steps_per_epoch, uniform_draws)}
 SQL = {
     "full_shuffle": f"""select doc_id, split, row_number() over (order by {_MD5(42, 'doc_id')}, doc_id) - 1 as pos from documents where split = 'train'
         union all select doc_id, split, row_number() over (order by doc_id) - 1 from documents where split is null or split <> 'train'""",
@@ -195,6 +203,8 @@ SQL = {
     "head_rows": "select doc_id, source, split from documents order by doc_id limit 3",
     "lockstep_steps": f"""with t as (select (doc_id % {SHARDS})::int as shard, count(*) as n from documents group by 1), l as (select min(n // 8) as steps from t)
         select shard, n, steps::bigint as steps, (steps * 8)::bigint as used from t, l""",
+    "lockstep_accumulated": f"""with t as (select (doc_id % {SHARDS})::int as shard, count(*) as n from documents group by 1), l as (select min(n // 8) // 4 * 4 as steps from t)
+        select shard, n, steps::bigint as steps from t, l""",
     "train_val_percent": "with t as (select doc_id, row_number() over (order by doc_id) - 1 as pos, count(*) over () as n from documents) select doc_id, case when pos < round_even(n * 0.05, 0) then 'validation' else 'train' end as split from t",
     "split_load": "select split, count(*) as n, sum(n_chars)::bigint as chars from documents where split in ('train', 'validation') group by 1",
     "interleave_equal": f"""with k as (select doc_id, source, row_number() over (partition by source order by {_MD5('interleave', 'doc_id')}, doc_id) - 1 as k from documents where source is not null),

@@ -46,9 +46,17 @@ def stopwords(spark: SparkSession, d: str) -> DataFrame:
 
 
 def misspelling_map(spark: SparkSession, d: str) -> DataFrame:
-    table = r.dictionary(read(spark, d, "misspellings"))
-    reports = read(spark, d, "radiology_reports").filter("content_attachment1_plain_data is not null")
-    return reports.select("report_id", _md5(r.correct(F.col("content_attachment1_plain_data"), table)).alias("md5"))
+    rows, text = read(spark, d, "misspellings"), "content_attachment1_plain_data"
+    reports, table = read(spark, d, "radiology_reports").filter(f"{text} is not null"), r.dictionary(rows)
+    fixed = reports.select("report_id", r.correct(F.col(text), table).alias(text)) if table is not None else r.correct_joined(reports, "report_id", text, rows)
+    return fixed.select("report_id", _md5(F.col(text)).alias("md5"))
+
+
+def misspelling_map_joined(spark: SparkSession, d: str) -> DataFrame:
+    """The same by a join, as for a table that is too large for the driver."""
+    text = "content_attachment1_plain_data"
+    reports = read(spark, d, "radiology_reports").filter(f"{text} is not null")
+    return r.correct_joined(reports, "report_id", text, read(spark, d, "misspellings")).select("report_id", _md5(F.col(text)).alias("md5"))
 
 
 def misspelling_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -111,7 +119,7 @@ _NOISE = "(?i)" + "|".join(f"({t.OTHER}{x}{t.OTHER})" for x in r.prune(NOISE, NE
 _TABLE = "m as (select map(list(word), list(seed)) as t from (select trim(word) as word, min(seed) as seed from misspellings where word is not null and seed is not null group by 1))"
 _KEY = "regexp_replace(w, '[^\\p{L}\\p{N}]+', '', 'g')"
 
-QUERIES = {f.__name__: f for f in (report_load, report_exclude, report_replace, stopwords, misspelling_map, misspelling_counts, noise_prune, question_removal, synonym_containment, radiology_label, label_shares, label_conflicts, combined_texts, separator_split)}
+QUERIES = {f.__name__: f for f in (report_load, report_exclude, report_replace, stopwords, misspelling_map, misspelling_map_joined, misspelling_counts, noise_prune, question_removal, synonym_containment, radiology_label, label_shares, label_conflicts, combined_texts, separator_split)}
 SQL = {
     "report_load": f"select onderzoeks_dt::date as date, count(*) as n, count(distinct studyid_0771) as studies {_F} group by 1",
     "report_exclude": f"select studyid_0771 as id, count(*) as n {_F} and not regexp_matches({_C}, '(?i){'|'.join(EXCLUDED)}') group by 1",
@@ -135,3 +143,4 @@ SQL = {
     "separator_split": f"""with s as (select report_id, list_transform(string_split(replace(replace(replace(replace(replace({_C}, '?', ''), '[', ''), ']', ''), ',', chr(1)), ';', chr(1)), chr(1)), lambda x: trim(x, ' ')) as s {_F})
         select report_id, len(s)::int as n, md5(array_to_string(s, '|')) as md5 from s""",
 }
+SQL["misspelling_map_joined"] = SQL["misspelling_map"]

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from korrel.functions.text import sentences
+from korrel.functions.stable import clean_for_tokenizer
+from korrel.functions.text import sentences, word_count
 from korrel.operators import chunks as c
 from korrel.operators import vocabulary as v
+from korrel.ordering import ordinal
+from korrel.plans.corpus import SQL as CORPUS_SQL
 from korrel.plans.corpus import sql_words
 from korrel.session import read, spread
 
@@ -41,6 +44,41 @@ def encode_truncate_pad(spark: SparkSession, d: str) -> DataFrame:
     return cut.select("doc_id", joined(c.pad("a", SIZE, v.PAD)).alias("ids"), joined(c.mask_of("a", F.size("a"), SIZE)).alias("mask"))
 
 
+def encode_pad_longest(spark: SparkSession, d: str) -> DataFrame:
+    """Truncated, then padded to the longest item of its batch (batches of BATCH items in the order of their ids)."""
+    cut = ordinal(_items(spark, d), ["item_id"]).select("item_id", F.floor(F.col("pos") / BATCH).alias("batch"), F.slice("ids", 1, SIZE).alias("a"))
+    longest = cut.groupBy("batch").agg(F.max(F.size("a")).alias("longest"))
+    both = cut.join(longest, "batch")
+    room = F.col("longest") - F.size("a")
+    return both.select("item_id", joined(F.concat("a", F.array_repeat(F.lit(PAD), room))).alias("ids"), joined(F.concat(F.array_repeat(F.lit(1), F.size("a")), F.array_repeat(F.lit(0), room))).alias("mask"))
+
+
+def encode_pad_max(spark: SparkSession, d: str) -> DataFrame:
+    """Not truncated, padded to the longest of the batch."""
+    items = ordinal(_items(spark, d), ["item_id"]).withColumn("batch", F.floor(F.col("pos") / BATCH))
+    both = items.join(items.groupBy("batch").agg(F.max(F.size("ids")).alias("longest")), "batch")
+    return both.select("item_id", joined(F.concat("ids", F.array_repeat(F.lit(PAD), F.col("longest") - F.size("ids")))).alias("ids"))
+
+
+def clean_tokenizer(spark: SparkSession, d: str) -> DataFrame:
+    """The tokenizer's cleaning of all texts."""
+    docs = spread(read(spark, d, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", F.md5(clean_for_tokenizer("text").cast("binary")).alias("text_md5"))
+
+
+def clean_then_encode(spark: SparkSession, d: str) -> DataFrame:
+    """Cleaned for the tokenizer, then encoded with the vocabulary of the cleaned texts."""
+    docs = spread(read(spark, d, "documents").select("doc_id", "text")).select("doc_id", clean_for_tokenizer("text").alias("text"))
+    out = v.encode(docs, ["doc_id"], "text", v.build(docs, "text", VOCAB))
+    return out.select("doc_id", F.size("input_ids").alias("n"), joined("input_ids").alias("ids"))
+
+
+def sentence_pack_dropped(spark: SparkSession, d: str) -> DataFrame:
+    """Sentences that the greedy packing drops, because they are too long alone, per document."""
+    s = read(spark, d, "documents").filter("text is not null").select("doc_id", sentences("text").alias("s"))
+    return s.select("doc_id", F.size(F.filter("s", lambda x: word_count(x) > 64)).alias("dropped"))
+
+
 def encode_eos(spark: SparkSession, d: str) -> DataFrame:
     cut = _items(spark, d).select("item_id", c.truncated_eos("ids", SIZE, EOS).alias("a"))
     return cut.select("item_id", joined(c.pad("a", SIZE, PAD)).alias("ids"), joined(c.mask_of("a", F.size("a"), SIZE)).alias("mask"))
@@ -143,11 +181,16 @@ _VOCAB = f"""w as (select doc_id, text, {sql_words('text')} as ws from documents
 _ONES = _REP(1, "len(ids)")
 _UNIFORM = f"list_transform(range(ceil(least(len(ids), 1000) / {SIZE - 1}.0)::bigint), lambda k: list_concat([case when len(list_filter(ids[k * {SIZE - 1} + 1 : least((k + 1) * {SIZE - 1}, 1000)], lambda x: x <> 0)) > 0 then 5 else {PAD} end], list_concat(ids[k * {SIZE - 1} + 1 : least((k + 1) * {SIZE - 1}, 1000)], list_transform(range(({SIZE - 1} - (least((k + 1) * {SIZE - 1}, least(len(ids), 1000)) - k * {SIZE - 1}))::bigint), lambda z: {PAD}))))"
 
-QUERIES = {f.__name__: f for f in (word_vocab, encode_vocab, encode_truncate_pad, encode_eos, encode_append_eos, special_tokens_mask, chunk_pad, chunk_eos, chunk_labels, chunk_min_length, num_chunks, concat_chunk, sentence_pack, hier_group, uniform_chunk, presplit_chunk, pair_overlay, pad_window, pad_multiple_of_8, static_shape, position_ids, sentence_heads)}
+QUERIES = {f.__name__: f for f in (word_vocab, encode_vocab, encode_truncate_pad, encode_pad_longest, encode_pad_max, clean_tokenizer, clean_then_encode, sentence_pack_dropped, encode_eos, encode_append_eos, special_tokens_mask, chunk_pad, chunk_eos, chunk_labels, chunk_min_length, num_chunks, concat_chunk, sentence_pack, hier_group, uniform_chunk, presplit_chunk, pair_overlay, pad_window, pad_multiple_of_8, static_shape, position_ids, sentence_heads)}
 SQL = {
     "word_vocab": f"with {_VOCAB} select token, count, id from v",
     "encode_vocab": f"with {_VOCAB} select doc_id, len(a)::int as n, {_MD('a')} as ids from a",
     "encode_truncate_pad": f"with {_VOCAB}, s as (select doc_id, a[1:{SIZE}] as a from a) select doc_id, {_MD(_PAD('a', SIZE, 0))} as ids, {_MD(_MASK('len(a)'))} as mask from s",
+    "encode_pad_longest": f"""with {_I}, o as (select item_id, ids[1:{SIZE}] as a, (row_number() over (order by item_id) - 1) // {BATCH} as batch from i), w as (select *, max(len(a)) over (partition by batch) as n from o)
+        select item_id, {_MD(f'list_concat(a, list_transform(range(n - len(a)), lambda x: {PAD}))')} as ids, {_MD('list_concat(list_transform(a, lambda x: 1), list_transform(range(n - len(a)), lambda x: 0))')} as mask from w""",
+    "encode_pad_max": f"""with {_I}, o as (select item_id, ids, (row_number() over (order by item_id) - 1) // {BATCH} as batch from i), w as (select *, max(len(ids)) over (partition by batch) as n from o)
+        select item_id, {_MD(f'list_concat(ids, list_transform(range(n - len(ids)), lambda x: {PAD}))')} as ids from w""",
+    "sentence_pack_dropped": CORPUS_SQL["sentences"].split("select doc_id, len(s)")[0] + f"select doc_id, len(list_filter(s, lambda x: len({sql_words('x')}) > 64))::int as dropped from s",
     "encode_eos": f"with {_I}, a as (select item_id, {_EOS_CUT('ids')} as a from i) select item_id, {_MD(_PAD('a'))} as ids, {_MD(_MASK('len(a)'))} as mask from a",
     "encode_append_eos": f"with {_I} select item_id, {_MD(f'list_append(ids, {EOS})')} as ids from i",
     "special_tokens_mask": f"with {_I} select item_id, {_MD('list_transform(ids, lambda x: (x in (0, 1, 2))::int)')} as mask from i",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from korrel.functions.text import SPACE, sentences
@@ -13,7 +13,7 @@ from korrel.operators.chunks import ids_or_empty
 from korrel.ordering import ordinal, uniform
 from korrel.plans.corpus import lit, sql_strip
 from korrel.plans.tokens import joined
-from korrel.session import read, spread
+from korrel.session import broadcast_if_small, cut, read, spread
 
 EOS, PAD = 1, 2
 
@@ -29,13 +29,11 @@ def _losses(spark: SparkSession, d: str) -> DataFrame:
 
 
 def mlm_mask(spark: SparkSession, d: str) -> DataFrame:
-    ids, labels = m.mlm(F.col("ids"), "item_id", (0, 1, 2), 4, 50_000)
-    return _items(spark, d).select("item_id", joined(ids).alias("ids"), joined(labels).alias("labels"))
+    return m.mlm(_items(spark, d), "ids", "item_id", (0, 1, 2), 4, 50_000).select("item_id", joined("masked").alias("ids"), joined("labels").alias("labels"))
 
 
 def mlm_mask_all(spark: SparkSession, d: str) -> DataFrame:
-    ids, labels = m.mlm(F.col("ids"), "item_id", (0, 1, 2), 4, 50_000, rate=0.25, mask_all=True)
-    return _items(spark, d).select("item_id", joined(ids).alias("ids"), joined(labels).alias("labels"))
+    return m.mlm(_items(spark, d), "ids", "item_id", (0, 1, 2), 4, 50_000, rate=0.25, mask_all=True).select("item_id", joined("masked").alias("ids"), joined("labels").alias("labels"))
 
 
 def causal_labels(spark: SparkSession, d: str) -> DataFrame:
@@ -44,17 +42,23 @@ def causal_labels(spark: SparkSession, d: str) -> DataFrame:
 
 def nsp_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Each sentence with the next one (label 0), or for half of them with the first sentence of a drawn document of
-    the same batch of 100 (label 1). The next sentence comes from the row's own array, so nothing is shuffled for it."""
-    docs = spread(read(spark, d, "documents").filter("text is not null").select("doc_id", "text")).select("doc_id", sentences("text").alias("s")).filter(F.size("s") > 0)
-    placed = ordinal(docs, ["doc_id"]).withColumn("batch", F.floor(F.col("pos") / 100)).withColumn("place", F.pmod("pos", F.lit(100)))
-    total = docs.count()
-    size = F.least(F.lit(100), F.lit(total) - F.col("batch") * 100)
-    pairs = placed.select("doc_id", "batch", size.alias("size"), F.posexplode(F.arrays_zip(F.slice("s", F.lit(1), F.size("s") - 1).alias("a"), F.slice("s", F.lit(2), F.size("s") - 1).alias("b"))).alias("k", "p"))
-    drawn = pairs.select("doc_id", "batch", "k", "p.a", "p.b", (uniform("nsp", "doc_id", "k") < 0.5).alias("true_next"), F.floor(uniform("pick", "doc_id", "k") * F.col("size")).alias("place"))
-    firsts = placed.select("batch", "place", F.element_at("s", 1).alias("other"))
-    out = drawn.join(firsts, ["batch", "place"], "left")
-    b = F.when(F.col("true_next"), F.col("b")).otherwise(F.col("other"))
-    return out.select("doc_id", "k", F.md5(F.concat("a", F.lit("|"), b).cast("binary")).alias("pair"), (~F.col("true_next")).cast("int").alias("label"))
+    the same batch of 100 (label 1). The next sentence comes from the row's own array, so nothing is shuffled for it.
+    Documents are numbered by their keys alone, and only the first sentences of the others are fetched."""
+    docs = spread(read(spark, d, "documents").filter(F.col("text").rlike("[^\\x01" + SPACE[1:])).select("doc_id", "text"))
+    placed = cut(ordinal(docs.select("doc_id"), ["doc_id"]).withColumns({"batch": F.floor(F.col("pos") / 100), "place": F.pmod("pos", F.lit(100))}))
+    size = F.least(F.lit(100), F.lit(placed.count()) - F.col("batch") * 100)
+    cutup = docs.join(broadcast_if_small(placed, 500_000), "doc_id").select("doc_id", "batch", "place", size.alias("size"), sentences("text").alias("s"))
+    pairs = cutup.select("doc_id", "batch", "size", F.posexplode(F.arrays_zip(F.slice("s", F.lit(1), F.size("s") - 1).alias("a"), F.slice("s", F.lit(2), F.size("s") - 1).alias("b"))).alias("k", "p"))
+    drawn = pairs.select("doc_id", "batch", "k", (uniform("nsp", "doc_id", "k") < 0.5).alias("true_next"), F.floor(uniform("pick", "doc_id", "k") * F.col("size")).alias("place"), "p")
+    # Only what the other sentence has to be joined to is carried along.
+    told = drawn.select("doc_id", "batch", "place", "k", "true_next", F.when(~F.col("true_next"), F.col("p.a")).alias("a"), F.when(F.col("true_next"), _pair(F.col("p.a"), F.col("p.b"))).alias("pair"))
+    firsts = cutup.select("batch", "place", F.element_at("s", 1).alias("other"))
+    out = told.join(firsts, ["batch", "place"], "left")
+    return out.select("doc_id", "k", F.coalesce("pair", _pair(F.col("a"), F.col("other"))).alias("pair"), (~F.col("true_next")).cast("int").alias("label"))
+
+
+def _pair(a: Column, b: Column) -> Column:
+    return F.md5(F.concat(a, F.lit("|"), b).cast("binary"))
 
 
 def loss_cumulative(spark: SparkSession, d: str) -> DataFrame:
@@ -104,6 +108,20 @@ def embedding_variance(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(round(variance, 6), round(covariance, 6))], "variance double, covariance double")
 
 
+def embedding_cosine(spark: SparkSession, d: str) -> DataFrame:
+    """Cosine similarity of each vector with the one of the next number."""
+    e = read(spark, d, "embeddings").select("vec_id", "embedding")
+    return e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("next")), "vec_id").select("vec_id", F.round(m.cosine("embedding", "next") + 1e-9, 5).alias("similarity"))
+
+
+def contrastive_loss(spark: SparkSession, d: str) -> DataFrame:
+    """In-batch contrast of vectors with those of the next number, in batches of 32."""
+    e = read(spark, d, "embeddings").select("vec_id", "embedding")
+    both = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("next")), "vec_id")
+    placed = ordinal(both.select("vec_id"), ["vec_id"]).select("vec_id", F.floor(F.col("pos") / 32).alias("batch"))
+    return m.contrastive(both.join(placed, "vec_id"), "batch", "vec_id", "embedding", "next").select("batch", "n", F.round("loss", 5).alias("loss"))
+
+
 def eos_stats(spark: SparkSession, d: str) -> DataFrame:
     """Where EOS stands; the content's end is told by the mask, so an EOS that also pads isn't taken for padding."""
     t = read(spark, d, "tokenized_examples").select("source", ids_or_empty("input_ids").alias("ids"), F.col("attention_mask").alias("mask"))
@@ -121,8 +139,9 @@ _PLACE = "item_id || ':' || (i - 1)"
 _CHOSEN = lambda rate: f"(x not in (0, 1, 2) and {_U('mlms', _PLACE)} < {rate})"
 _S = f"list_filter(list_transform(string_split(regexp_replace(text, {lit(f'([.!?]){SPACE}+')}, '\\1' || chr(1), 'g'), chr(1)), lambda s: {sql_strip('s')}), lambda s: s <> '')"
 
-QUERIES = {f.__name__: f for f in (mlm_mask, mlm_mask_all, causal_labels, nsp_pairs, loss_cumulative, loss_tumbling, eval_mean_of_means, eval_weighted, perplexity, nan_clean, lr_linear, lr_cosine, align_steps, embedding_variance, eos_stats)}
+QUERIES = {f.__name__: f for f in (mlm_mask, mlm_mask_all, causal_labels, nsp_pairs, loss_cumulative, loss_tumbling, eval_mean_of_means, eval_weighted, perplexity, nan_clean, lr_linear, lr_cosine, align_steps, embedding_variance, embedding_cosine, contrastive_loss, eos_stats)}
 SQL = {
+    "embedding_cosine": "select a.vec_id, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]) + 1e-9, 5) as similarity from embeddings a join embeddings b on b.vec_id = a.vec_id + 1",
     "mlm_mask": f"""with {_I} select item_id, {_MD(f"list_transform(ids, lambda x, i: case when not {_CHOSEN(0.15)} then x when {_U('mlmh', _PLACE)} < 0.8 then 4 when {_U('mlmh', _PLACE)} < 0.9 then floor({_U('mlmr', _PLACE)} * 50000)::int else x end)")} as ids,
         {_MD(f"list_transform(ids, lambda x, i: case when {_CHOSEN(0.15)} then x else -100 end)")} as labels from i""",
     "mlm_mask_all": f"""with {_I} select item_id, {_MD(f"list_transform(ids, lambda x, i: case when {_CHOSEN(0.25)} then 4 else x end)")} as ids, {_MD(f"list_transform(ids, lambda x, i: case when {_CHOSEN(0.25)} then x else -100 end)")} as labels from i""",

@@ -5,10 +5,13 @@ Bad rows never stop a scan: they are counted or returned beside the good ones. N
 
 from __future__ import annotations
 
+import io
 import json
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.json as arrow_json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,7 +51,8 @@ def read_jsonl(spark: SparkSession, paths: str | Sequence[str], strict: bool = F
 
 
 def read_txt(spark: SparkSession, paths: str | Sequence[str], separator: str | None = None, charset: str = "ISO-8859-1") -> DataFrame:
-    """file, ix, text: whole files in one charset, split at a literal separator or at line ends."""
+    """file, ix, text in one charset, split at a literal separator or at line ends. Spark's text reader knows neither the
+    charset nor all line ends of splitlines, so a file is one value here: for many small files, as the blueprint has."""
     raw = spark.read.format("binaryFile").load(paths)
     body = F.decode("content", charset)
     if separator is None:
@@ -107,18 +111,61 @@ def header(df: DataFrame) -> list[tuple[str, str]]:
     return [(f.name, f.dataType.simpleString()) for f in df.schema]
 
 
+#: Nesting beyond which a line is not given to the second parser, whose recursion has no guard of its own.
+DEEPEST = 64
+
+
+def _depth(value: object) -> int:
+    level, depth = [value], 0
+    while level:
+        level = [x for v in level if isinstance(v, (dict, list)) for x in (v.values() if isinstance(v, dict) else v)]
+        depth += 1
+    return depth
+
+
+def _line_status(line: str) -> str:
+    """blank, good, or the first parser that does not take the line: a strict one, then Arrow's."""
+    if not line.strip():
+        return "blank"
+    try:
+        value = json.loads(line)
+    except (ValueError, RecursionError):
+        return "bad"
+    if not isinstance(value, dict) or line.count("[") + line.count("{") > DEEPEST and _depth(value) > DEEPEST:
+        return "bad_arrow"
+    try:
+        arrow_json.read_json(io.BytesIO(line.encode("utf-8", "surrogatepass")), arrow_json.ReadOptions(use_threads=False, block_size=max(1 << 20, 8 * len(line))))
+    except pa.ArrowException:
+        return "bad_arrow"
+    return "good"
+
+
 def json_report(lines: DataFrame, first: int = 20) -> tuple[DataFrame, DataFrame]:
     """Counts of lines by status, and the first bad ones; blank lines are counted but not tested. lines has n, value."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            status = []
-            for v in b.value:
-                try:
-                    status.append("blank" if not v.strip() else (json.loads(v), "good")[1])
-                except (ValueError, RecursionError):
-                    status.append("bad")
-            yield b.assign(status=status)
+            yield b.assign(status=[_line_status(v) for v in b.value])
 
     tested = lines.select("n", "value").filter("value is not null").mapInPandas(run, "n bigint, value string, status string")
-    return tested.groupBy("status").agg(F.count(F.lit(1)).alias("n")), tested.filter("status = 'bad'").orderBy("n").limit(first)
+    return tested.groupBy("status").agg(F.count(F.lit(1)).alias("n")), tested.filter("status like 'bad%'").orderBy("n").limit(first)
+
+
+def read_jsonl_skipping(spark: SparkSession, directory: str, pattern: str = "*") -> tuple[DataFrame, DataFrame]:
+    """Lines of all files below a directory that can be read (as read_jsonl), and a log: file, line text and problem of
+    every bad line, and every file that gave no line at all because it is unreadable, with a null line."""
+    spark_reader = spark.read.option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [repair_line(v) for v in b.value]
+            yield b.assign(status=[s for _, s in found], json=[json.dumps(x, ensure_ascii=False) if s != "bad" else None for x, s in found])
+
+    lines = spark_reader.text(directory).select(F.col("_metadata.file_path").alias("file"), "value")
+    rows = lines.filter(strip("value") != "").mapInPandas(run, "file string, value string, status string, json string")
+    name = lambda c: F.regexp_replace(c, "^[a-z]+:/+", "/")
+    seen = lines.select(name("file").alias("file")).distinct()
+    listed = listing(spark, directory, pattern).filter("length > 0").select(name("path").alias("file"))
+    silent = listed.join(seen, "file", "left_anti").select("file", F.lit(None).cast("string").alias("line"), F.lit("unreadable file").alias("problem"))
+    bad = rows.filter("status = 'bad'").select(name("file").alias("file"), F.col("value").alias("line"), F.lit("bad line").alias("problem"))
+    return rows, bad.unionByName(silent)

@@ -55,4 +55,6 @@ def dry_run(files: DataFrame, root: str, target: str) -> DataFrame:
 
 
 def result_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("sep", ";").option("header", True).csv(path)
+    """Separated by semicolons; white space at the ends of values is kept."""
+    kept = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.mode("overwrite").options(sep=";", header=True, **kept).csv(path)

@@ -6,7 +6,7 @@ import pytest
 
 from tests.oracle import database, same
 
-CORE = [importlib.import_module(f"korrel.plans.{m}") for m in ("records", "corpus", "order", "tokens", "training", "radiology", "flows")]
+CORE = [importlib.import_module(f"korrel.plans.{m}") for m in ("records", "corpus", "order", "tokens", "training", "radiology", "flows", "exchange")]
 QUERIES = {k: f for m in CORE for k, f in m.QUERIES.items()}
 SQL = {k: s for m in CORE for k, s in m.SQL.items()}
 

@@ -102,9 +102,6 @@ def label(df: DataFrame, terms: Sequence[str], negative: Sequence[str], positive
     return both.select("id", "date", case.alias("label")).unionByName(absent)
 
 
-def biggest(texts: Sequence[Column]) -> Column:
-    """The longest text; of equally long ones the last."""
-    best = texts[0]
-    for t in texts[1:]:
-        best = F.when(F.length(best) > F.length(t), best).otherwise(t)
-    return best
+def biggest(texts: Column) -> Column:
+    """The longest of an array of texts; of equally long ones the last. Null for an empty array."""
+    return F.aggregate(texts, F.get(texts, F.lit(0)), lambda best, t: F.when(F.length(best) > F.length(t), best).otherwise(t))

@@ -162,10 +162,10 @@ def incremental_substring(spark: SparkSession, d: str) -> DataFrame:
 
 
 def size_sync(spark: SparkSession, d: str) -> DataFrame:
-    """Listing join: missing here, or of another size."""
+    """Listing join: missing here, or of another size. The local listing lacks files and has JSON files a byte short."""
     raw = read(spark, d, "raw_records")
     remote = raw.groupBy("file_name").agg(F.sum(F.length("text")).alias("size"))
-    local = raw.filter("line_no <= 40 and file_name not like 's%'").groupBy("file_name").agg(F.sum(F.length("text")).alias("local_size"))
+    local = remote.filter("file_name not like 's%'").select("file_name", (F.col("size") - F.col("file_name").like("%.jsonl").cast("bigint")).alias("local_size"))
     both = remote.join(local, "file_name", "left")
     return both.filter("local_size is null or local_size <> size").select("file_name", "size", "local_size", F.col("local_size").isNull().alias("missing"))
 
@@ -204,7 +204,7 @@ def nul_to_space(spark: SparkSession, d: str) -> DataFrame:
 
 
 def html_text(spark: SparkSession, d: str) -> DataFrame:
-    return _docs(spark, d).filter("text like '%<a %'").select("doc_id", F.md5(t.collapse_spaces(t.strip(t.strip_tags("text"))).cast("binary")).alias("md5"))
+    return _docs(spark, d).filter("text is not null").select("doc_id", F.md5(t.collapse_spaces(t.strip(t.strip_tags("text"))).cast("binary")).alias("md5"))
 
 
 def recommended_mode(spark: SparkSession, d: str) -> DataFrame:
@@ -280,7 +280,7 @@ SQL = {
     "incremental_substring": f"""select distinct file_name from raw_records r where not exists (select 1 from (select 'a_' || {_STEM} || '2_normalised.jsonl' as o from file_catalog where row_format = 'csv') c
         where contains(c.o, regexp_replace(r.file_name, '\\.[^.]*$', '')))""",
     "size_sync": """with r as (select file_name, sum(length(text))::bigint as size from raw_records group by 1),
-        l as (select file_name, sum(length(text))::bigint as local_size from raw_records where line_no <= 40 and file_name not like 's%' group by 1)
+        l as (select file_name, size - (file_name like '%.jsonl')::bigint as local_size from r where file_name not like 's%')
         select r.file_name, size, local_size, local_size is null as missing from r left join l using (file_name) where local_size is null or local_size <> size""",
     "extension_filter": "select file_name, count(*) as n from raw_records where regexp_matches(lower(file_name), '\\.jsonl?$') group by 1",
     "byte_sizes": """with s as (select file_name, sum(strlen(text))::bigint as bytes from raw_records group by 1)
@@ -297,4 +297,8 @@ SQL = {
     "source_dictionary_join": "select d.source, count(*) as docs, max(target_weight) as target_weight, max(max_repeats) as max_repeats from documents d left join mix_targets m on d.source = m.source group by 1",
     "newest_per_id": "select id, max(doc_id) as doc_id, arg_max(coalesce(lang, '\x01'), doc_id) as lang from documents group by id",
 }
+_BARE = "regexp_replace(regexp_replace(text, '(?is)<(script|style)[^>]*>.*?</(script|style)>|<!--.*?-->', ' ', 'g'), '<[^>]*>', ' ', 'g')"
+for _e in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
+    _BARE = f"replace({_BARE}, {lit(_e[0])}, {lit(_e[1])})"
+SQL["html_text"] = f"select doc_id, md5({sql_collapse(sql_strip(_BARE))}) as md5 from documents where text is not null"
 SQL["newest_per_id"] = "select id, doc_id, lang from (select *, row_number() over (partition by id order by doc_id desc) as rn from documents) where rn = 1"

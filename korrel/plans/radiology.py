@@ -99,10 +99,10 @@ def label_conflicts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def combined_texts(spark: SparkSession, d: str) -> DataFrame:
-    """The longest of three parts, and the parts joined."""
-    parts = [F.coalesce(F.get(F.split("content_attachment1_plain_data", "\n"), F.lit(i)), F.lit("")) for i in range(3)]
+    """The longest line of a report, and its lines joined."""
+    lines = F.split("content_attachment1_plain_data", "\n")
     reports = read(spark, d, "radiology_reports").filter("content_attachment1_plain_data is not null")
-    return reports.select("report_id", _md5(r.biggest(parts)).alias("biggest"), _md5(F.concat_ws("|", *parts)).alias("joined"))
+    return reports.select("report_id", _md5(r.biggest(lines)).alias("biggest"), _md5(F.array_join(lines, "|")).alias("joined"))
 
 
 def separator_split(spark: SparkSession, d: str) -> DataFrame:
@@ -138,8 +138,8 @@ SQL = {
         select id, date, case when n = 1 then 0 when p = 1 then 1 else 2 end as label from f union all select id, date, -1 from h where not has""",
     "label_shares": "select target, count(*) as n, count(distinct studyid_0771) as studies, round(avg((label = 1)::int) * 100, 6) as positive_percent, sum((label = -1)::int)::bigint as absent from study_labels group by 1",
     "label_conflicts": "select studyid_0771, onderzoeks_dt, target, count(distinct label) as labels, max(label) as label from study_labels where label is not null group by 1, 2, 3 having count(distinct label) > 1",
-    "combined_texts": f"""with p as (select report_id, coalesce(string_split({_C}, chr(10))[1], '') as a, coalesce(string_split({_C}, chr(10))[2], '') as b, coalesce(string_split({_C}, chr(10))[3], '') as c {_F}),
-        q as (select *, case when length(a) > length(b) then a else b end as ab from p) select report_id, md5(case when length(ab) > length(c) then ab else c end) as biggest, md5(a || '|' || b || '|' || c) as joined from q""",
+    "combined_texts": f"""with p as (select report_id, string_split({_C}, chr(10)) as lines {_F})
+        select report_id, md5(list_reduce(lines, lambda a, b: case when length(a) > length(b) then a else b end)) as biggest, md5(array_to_string(lines, '|')) as joined from p""",
     "separator_split": f"""with s as (select report_id, list_transform(string_split(replace(replace(replace(replace(replace({_C}, '?', ''), '[', ''), ']', ''), ',', chr(1)), ';', chr(1)), chr(1)), lambda x: trim(x, ' ')) as s {_F})
         select report_id, len(s)::int as n, md5(array_to_string(s, '|')) as md5 from s""",
 }

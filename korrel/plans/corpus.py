@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from korrel.functions import text as t
@@ -121,10 +121,8 @@ def blank_filter(spark: SparkSession, d: str) -> DataFrame:
 
 
 def source_fill(spark: SparkSession, d: str) -> DataFrame:
-    """The default source is replaced by the stem of the file that the record came from."""
-    raw = read(spark, d, "raw_records")
-    joined = raw.select("raw_id", "file_name", F.when(F.pmod("raw_id", F.lit(3)) == 0, F.lit(NO_SOURCE)).otherwise(F.concat(F.lit("s"), F.pmod("raw_id", F.lit(5)).cast("string"))).alias("source"))
-    return joined.select("raw_id", F.when(F.col("source") == NO_SOURCE, F.regexp_replace("file_name", r"\.[^.]*$", "")).otherwise(F.col("source")).alias("source"))
+    """A source that is not available becomes the stem of the input's name."""
+    return _docs(spark, d).select("doc_id", F.when(F.col("source") == NO_SOURCE, F.lit("documents")).otherwise(F.col("source")).alias("source"))
 
 
 #: Patterns in order with their field names; * is a wildcard and the match is one of the beginning only.
@@ -232,9 +230,9 @@ def source_vocabulary_join(spark: SparkSession, d: str) -> DataFrame:
 
 
 def newest_per_id(spark: SparkSession, d: str) -> DataFrame:
-    """The last document of each repeated id."""
-    w = Window.partitionBy("id").orderBy(F.col("doc_id").desc())
-    return _docs(spark, d).select("id", "doc_id", "lang").withColumn("rn", F.row_number().over(w)).filter("rn = 1").drop("rn")
+    """The last row of each id, pre-aggregated per task; rows without an id are one group."""
+    newest = _docs(spark, d).groupBy("id").agg(F.max(F.struct("doc_id", "lang")).alias("m"))
+    return newest.select("id", "m.doc_id", "m.lang")
 
 
 _KEPT = "from documents where text is not null and length(text) > 0"
@@ -274,7 +272,7 @@ SQL = {
         from documents where text is not null group by 1""",
     "min_words_filter": f"select doc_id, len({sql_words(sql_strip('text'))})::int as n_words {_KEPT} and len({sql_words(sql_strip('text'))}) >= {MIN_WORDS}",
     "blank_filter": f"select doc_id, lang from documents where {sql_strip('text')} <> ''",
-    "source_fill": f"select raw_id, case when raw_id % 3 = 0 then {_STEM} else 's' || (raw_id % 5) end as source from raw_records",
+    "source_fill": f"select doc_id, case when source = '{NO_SOURCE}' then 'documents' else source end as source from documents",
     "catalog_match_first": f"select file_name, count(*) as rows, {_HIT(0)} as pattern, {_HIT(1)} as id_field, {_HIT(2)} as text_field from raw_records group by file_name",
     "incremental_anti": f"select distinct file_name from raw_records where {_STEM} not in (select {_STEM} from file_catalog where row_format = 'csv')",
     "incremental_substring": f"""select distinct file_name from raw_records r where not exists (select 1 from (select 'a_' || {_STEM} || '2_normalised.jsonl' as o from file_catalog where row_format = 'csv') c

@@ -110,7 +110,11 @@ def chunk_labels(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chunk_min_length(spark: SparkSession, d: str) -> DataFrame:
-    return c.chunked(_items(spark, d).filter(F.size("ids") >= 32), "ids", SIZE, ["item_id"]).groupBy("item_id").agg(F.count(F.lit(1)).alias("chunks"))
+    """Only items of at least 32 real tokens; padding does not count."""
+    t = read(spark, d, "tokenized_examples")
+    real = F.when(F.col("attention_mask").isNull(), F.size(F.filter("input_ids", lambda x: x != PAD))).otherwise(F.size(F.filter("attention_mask", lambda x: x == 1)))
+    items = t.filter(real >= 32).select("item_id", c.ids_or_empty("input_ids").alias("ids"))
+    return c.chunked(items, "ids", SIZE, ["item_id"]).groupBy("item_id").agg(F.count(F.lit(1)).alias("chunks"))
 
 
 def num_chunks(spark: SparkSession, d: str) -> DataFrame:
@@ -197,7 +201,8 @@ SQL = {
     "chunk_pad": f"with {_CHUNKS} select item_id, chunk_ix, {_MD(_PAD('chunk'))} as ids, {_MD(_MASK('len(chunk)'))} as mask from p",
     "chunk_eos": f"with {_CHUNKS}, e as (select item_id, chunk_ix, case when chunk_ix = (total - 1) // {SIZE} then {_EOS_CUT('chunk')} else chunk end as chunk from p) select item_id, chunk_ix, {_MD(_PAD('chunk'))} as ids from e",
     "chunk_labels": f"with {_CHUNKS} select item_id, chunk_ix, {_MD(_PAD('chunk'))} as ids, {_MD(_PAD('chunk'))} as labels from p",
-    "chunk_min_length": f"with {_I} select item_id, ceil(len(ids) / {SIZE}.0)::bigint as chunks from i where len(ids) >= 32",
+    "chunk_min_length": f"""select item_id, ceil(len(input_ids) / {SIZE}.0)::bigint as chunks from tokenized_examples where len(input_ids) > 0
+        and case when attention_mask is null then len(list_filter(input_ids, lambda x: x <> {PAD})) else len(list_filter(attention_mask, lambda x: x = 1)) end >= 32""",
     "num_chunks": f"with {_I} select item_id, ceil(len(ids) / {SIZE}.0)::int as chunks from i",
     "concat_chunk": f"""with {_I}, o as (select item_id, ids, (row_number() over (order by item_id) - 1) // {BATCH} as batch from i), t as (select batch, item_id, unnest(ids) as x, unnest(range(len(ids))) as p from o),
         g as (select batch, x, row_number() over (partition by batch order by item_id, p) - 1 as g from t), k as (select batch::bigint as batch, (g // {SIZE})::bigint as chunk_ix, list(x order by g) as a from g group by 1, 2)

@@ -104,8 +104,11 @@ def align_steps(spark: SparkSession, d: str) -> DataFrame:
 
 
 def embedding_variance(spark: SparkSession, d: str) -> DataFrame:
-    variance, covariance = m.vicreg(read(spark, d, "embeddings"), "embedding", 64)
-    return spark.createDataFrame([(round(variance, 6), round(covariance, 6))], "variance double, covariance double")
+    """The regularisers of all vectors of 64 numbers, with the number of rows that have none."""
+    vectors = read(spark, d, "embeddings")
+    others = vectors.filter(F.col("embedding").isNull() | (F.size("embedding") != 64)).count()
+    variance, covariance = m.vicreg(vectors, "embedding", 64)
+    return spark.createDataFrame([(round(variance, 6), round(covariance, 6), others)], "variance double, covariance double, others bigint")
 
 
 def embedding_cosine(spark: SparkSession, d: str) -> DataFrame:
@@ -163,7 +166,7 @@ SQL = {
     "embedding_variance": """with e as (select vec_id, unnest(embedding)::double as x, unnest(range(64)) as k from embeddings),
         v as (select avg(greatest(0, 1 - sqrt(s + 0.0001))) as variance from (select var_samp(x) as s from e group by k)),
         c as (select a.k as i, b.k as j, covar_samp(a.x, b.x) as c from e a join e b using (vec_id) group by 1, 2)
-        select round(variance, 6) as variance, round((select sum(c * c) from c where i <> j) / 64, 6) as covariance from v""",
+        select round(variance, 6) as variance, round((select sum(c * c) from c where i <> j) / 64, 6) as covariance, (select count(*) from embeddings where embedding is null or len(embedding) <> 64) as others from v""",
     "eos_stats": f"""with t as (select source, coalesce(input_ids, []) as ids, case when attention_mask is null then len(list_filter(coalesce(input_ids, []), lambda x: x <> {PAD})) else len(list_filter(attention_mask, lambda x: x = 1)) end as n from tokenized_examples)
         select source, count(*) as n, sum(list_contains(ids, {EOS})::int)::bigint as with_eos, sum((not list_contains(ids, {EOS}))::int)::bigint as without_eos, sum(coalesce(ids[case when n = 0 then 100000000 else n end] = {EOS}, false)::int)::bigint as at_end from t group by 1""",
 }

@@ -215,3 +215,50 @@ def test_buckets_stay_below_their_bound(spark, monkeypatch):
     ordering.ordinal(df, ["s", "id"], bucket_rows=100)
     ordering.hash_ordinal(df, 7, ["id"], bucket_rows=100)
     assert max(seen) <= 400
+
+
+def test_eos_of_short_long_and_exact_texts(spark):
+    """Five lengths about a limit of 64: short, long, 10 below, exact, 50 above; EOS ends every one, once."""
+    limit, eos, pad = 64, 1, 2
+    rows = [(i, [7] * n) for i, n in enumerate((5, 500, limit - 10, limit, limit + 50))] + [(5, [7] * 9 + [eos]), (6, [])]
+    df = spark.createDataFrame(rows, "i int, ids array<int>")
+    cut = {x.i: x.a for x in df.select("i", c.truncated_eos("ids", limit, eos).alias("a")).collect()}
+    for i, ids in rows:
+        assert cut[i][-1] == eos and cut[i].count(eos) == 1 and len(cut[i]) == min(limit, len(ids) + (eos not in ids))
+        assert cut[i][:-1] == ids[: len(cut[i]) - 1]
+    last = df.select("i", F.explode(c.pieces("ids", limit)).alias("p")).select("i", c.pad(c.truncated_eos("p", limit, eos), limit, pad).alias("a")).collect()
+    assert all(len(x.a) == limit and eos in x.a for x in last)
+
+
+def test_vocabulary_shipped_and_joined_agree(spark):
+    from korrel.operators import vocabulary as v
+
+    df = spark.createDataFrame([(1, "a b a c"), (2, None), (3, ""), (4, "zz  b")], "k int, text string")
+    table = v.build(df, "text", 2)
+    shipped, joined = ({r.k: r.input_ids for r in v.encode(df, ["k"], "text", table, n).collect()} for n in (10, 1))
+    assert shipped == joined == {1: [5, 6, 5, 1], 2: [], 3: [], 4: [1, 6]}
+
+
+def test_corrections_shipped_and_joined_agree(spark):
+    df = spark.createDataFrame([(1, "Een stenoose, (stenoose) is"), (2, None), (3, ""), (4, "  x ")], "k int, t string")
+    rows = spark.createDataFrame([("stenose", "stenoose"), ("stenose", "stenoose"), (None, "x"), ("q", None)], "seed string, word string")
+    table = r.dictionary(rows)
+    mapped = {x.k: x.t for x in df.select("k", r.correct(F.col("t"), table).alias("t")).collect()}
+    assert mapped == {x.k: x.t for x in r.correct_joined(df, "k", "t", rows).collect()}
+    assert mapped[1] == "Een stenose, (stenose) is" and mapped[2] is None
+
+
+def test_tokenizer_cleaning(spark):
+    from korrel.functions import stable
+
+    assert stable.tokenizer_text("ja " * 9 + "nee!!!!!!  x") == "ja nee! x"
+    assert stable.apply_until_stable(stable.re.compile("aa"), "a", "a" * 64, 3) == "a" * 8
+    assert stable.repair_text("crÃƒÂ¨me, patiÃ«nt") == "crème, patiënt" and stable.repair_text("Één – “x”") == "Één – “x”"
+    df = spark.createDataFrame([("crÃ¨me  ha ha",), (None,), ("",)], "t string")
+    got = [x.t for x in df.select(t.clean("t", stable.repair_encoding).alias("t")).collect()]
+    assert got == ["crème ha", None, ""]
+
+
+def test_cosine_and_contrast_edges(spark):
+    df = spark.createDataFrame([([1.0, 0.0], [0.0, 2.0]), ([3.0, 4.0], [6.0, 8.0]), ([0.0], [1.0]), ([1.0], [1.0, 2.0]), (None, [1.0])], "a array<double>, b array<double>")
+    assert [x.c for x in df.select(m.cosine("a", "b").alias("c")).collect()] == [0.0, 1.0, 0.0, None, None]

@@ -28,6 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from korrel.llm.hashing import codes_of, stretch_hashes
+
 REPEATS, SHORTEST, COVERED, PAGE_COVERED, CLAUSE, ITEM = 3, 6, 0.35, 0.3, 0.16, 3
 #: Characters that are judged together; a longer page is judged alone.
 CHARS = 2_000_000
@@ -69,30 +71,11 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
 
 
 _KIND, _SMALL = _tables()
-_ODD = np.uint64(0x9E3779B97F4A7C15)
-
-
-def _hashes(codes: np.ndarray, start: np.ndarray, size: np.ndarray, block: int = 1 << 17) -> np.ndarray:
-    """64-bit hash of each stretch of codes (start, size), sizes above 0; a block of stretches at a time."""
-    out = np.empty(len(start), np.uint64)
-    with np.errstate(over="ignore"):
-        for b in range(0, len(start), block):
-            n = size[b : b + block]
-            ends = np.cumsum(n)
-            inner = np.arange(ends[-1]) - np.repeat(ends - n, n)
-            x = codes[np.repeat(start[b : b + block], n) + inner] * _ODD + inner.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-            x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-            out[b : b + block] = np.add.reduceat(x ^ (x >> np.uint64(32)), ends - n)
-    return out
-
-
-def _codes(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
 def _word_hash(words: list[str]) -> np.ndarray:
     size = np.array([len(w) for w in words], np.int64)
-    return np.sort(_hashes(_codes("".join(words)), np.cumsum(size) - size, size))
+    return np.sort(stretch_hashes(codes_of("".join(words)), np.cumsum(size) - size, size))
 
 
 _GRAMMAR = _word_hash(sorted(FUNCTION_WORDS))
@@ -219,7 +202,7 @@ def scores(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     n = len(texts)
     text = "\0".join(texts)
     page_end = np.cumsum([len(t) + 1 for t in texts])
-    codes = _codes(text)
+    codes = codes_of(text)
     kind = _KIND[np.minimum(codes, 0x3000)]
     codes = np.where(codes < 0x3000, _SMALL[np.minimum(codes, 0x3000)], codes)
     first = np.flatnonzero((kind != SPACE) & np.r_[True, (kind[1:] != kind[:-1]) | (kind[1:] >= LINE)])
@@ -228,7 +211,7 @@ def scores(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     edge = np.r_[np.flatnonzero(kind[1:] != kind[:-1]) + 1, len(kind)]
     stop = np.where(kind[first] >= LINE, first + 1, edge[np.searchsorted(edge, first, "right")])
     sort, page = kind[first], np.searchsorted(page_end, first, "right")
-    hashed = _hashes(codes, first, stop - first)
+    hashed = stretch_hashes(codes, first, stop - first)
     link, markup = _inside(_LINK, text)[first], _inside(_MARKUP, text)[first]
     linked = _inside(_ELEMENT, text)[first]
     tag = (sort == LETTER) & (codes[np.maximum(first - 1, 0)] == 35) & (first > 0)

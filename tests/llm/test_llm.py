@@ -339,6 +339,17 @@ def test_words():
     assert overlap.words_of("ﬁjn Één_twee 1½ ①") == ["fijn", "één", "twee", "11", "2", "1"]
 
 
+def test_words_by_hash_are_the_words():
+    from korrel.llm.hashing import word_hashes
+
+    texts = ["ﬁjn Één_twee 1½ ①", None, "", "de De DE, de", DUTCH, "ΟΔΟΣ. x", "𝔞b 𠀀 🙂 c", "a\nb", "ab", "İstanbul"]
+    words, n = word_hashes(texts)
+    lists = [overlap.words_of(t or "") for t in texts]
+    assert n.tolist() == [len(ws) for ws in lists]
+    flat = [w for ws in lists for w in ws]
+    assert len({(a, b) for a, b in zip(flat, words.tolist())}) == len(set(flat)) == len(set(words.tolist()))
+
+
 # -- 7: encoding -------------------------------------------------------------------------------------------------------
 
 

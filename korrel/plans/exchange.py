@@ -135,6 +135,16 @@ def source_texts(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy(F.md5(F.col("text").cast("binary")).alias("text_md5")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def source_shuffled(spark: SparkSession, d: str) -> DataFrame:
+    """Two tables of texts and one without, read in the order of shuffled files and rows."""
+    root = scratch(spark, "shuffled")
+    read(spark, d, "documents").select(F.col("doc_id").alias("key"), "text").write.parquet(f"{root}/a.parquet")
+    read(spark, d, "radiology_reports").select(F.col("report_id").alias("key"), F.col("content_attachment1_plain_data").alias("text")).write.parquet(f"{root}/b.parquet")
+    read(spark, d, "tokenized_examples").select(F.col("item_id").alias("key")).write.parquet(f"{root}/c.parquet")
+    rows, skipped = files.read_shuffled(spark, {n: f"{root}/{n}.parquet" for n in "abc"}, "key", "text")
+    return rows.select("input", "key", "file_key", "row_key", F.lit(",".join(skipped)).alias("skipped"))
+
+
 def source_header(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(i, n) for i, (n, _) in enumerate(files.header(read(spark, d, "documents")))], "place int, name string")
 
@@ -188,7 +198,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         sink_combined_parquet, sink_combined_json, sink_merge, sink_jsonl_per_file, sink_fixed_rows, sink_near_equal, sink_keep, sink_dry_run, sink_result_csv,
-        sink_projected, source_declared_json, source_csv_dictionary, source_splits, source_pretokenized, source_texts, source_header, source_listing,
+        sink_projected, source_declared_json, source_csv_dictionary, source_splits, source_pretokenized, source_texts, source_shuffled, source_header, source_listing,
         source_jsonl_repair, source_skipping, source_txt, registered_functions,
     )
 }
@@ -210,6 +220,8 @@ SQL = {
     "source_splits": "select doc_id, case when split = 'train' then lang end as lang, split from documents where split in ('train', 'validation')",
     "source_pretokenized": "select item_id, coalesce(len(input_ids), 0)::int as n from tokenized_examples",
     "source_texts": "with x as (select text from documents union all select lang from documents union all select source from documents) select md5(text) as text_md5, count(*) as n from x where text is not null group by 1",
+    "source_shuffled": f"""with x as (select 'a' as input, doc_id as key, text from documents union all select 'b', report_id, content_attachment1_plain_data from radiology_reports)
+        select input, key, md5('42:' || input) as file_key, md5('42:' || input || ':' || key) as row_key, 'c' as skipped from x where {sql_chain("text", ((f"^{t.SPACE}+|{t.SPACE}+$", ""),))} <> ''""",
     "source_header": "select (row_number() over () - 1)::int as place, column_name as name from (describe documents)",
     "source_listing": "select regexp_extract(file_name, '([a-z]+)$', 1) as form, count(distinct file_name) as inputs from raw_records group by 1",
     "source_txt": "select (row_number() over (order by file_name) - 1)::int as ix, file_name as text from file_catalog",

@@ -8,6 +8,7 @@ from __future__ import annotations
 import io
 import json
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 import pyarrow as pa
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from korrel.functions.text import strip
+from korrel.ordering import md5_of
 
 CANONICAL = T.StructType([
     T.StructField("id", T.StringType()), T.StructField("text", T.StringType()), T.StructField("source", T.StringType()),
@@ -107,6 +109,22 @@ def read_splits(spark: SparkSession, inputs: dict[str, str]) -> DataFrame:
     return out
 
 
+def read_shuffled(spark: SparkSession, inputs: dict[str, str], key: str, text: str, seed: object = 42) -> tuple[DataFrame, list[str]]:
+    """Texts of named tables in the order of a loader that shuffles its files and the rows of each: input, key, text,
+    file_key, row_key in their order; blank texts are left out. Inputs without the text column are skipped and named."""
+    parts, skipped = [], []
+    for name, path in inputs.items():
+        df = read_any(spark, path)
+        if text in df.columns:
+            parts.append(df.select(F.lit(name).alias("input"), F.col(key).alias("key"), F.col(text).alias("text")).filter(strip("text") != ""))
+        else:
+            skipped.append(name)
+    if not parts:
+        raise ValueError("no input has the text column")
+    rows = reduce(lambda a, b: a.unionByName(b), parts).withColumns({"file_key": md5_of(seed, "input"), "row_key": md5_of(seed, "input", "key")})
+    return rows.orderBy("file_key", "row_key", "key"), skipped
+
+
 def header(df: DataFrame) -> list[tuple[str, str]]:
     return [(f.name, f.dataType.simpleString()) for f in df.schema]
 

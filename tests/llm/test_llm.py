@@ -496,3 +496,51 @@ def test_core_does_not_import_llm():
 
 def test_normal_form():
     assert unicodedata.normalize("NFC", DUTCH) == DUTCH
+
+
+# -- nulls in every column, clashing names, one long text, one hot source ------------------------------------------------
+
+
+def test_nulls_and_clashing_names(spark):
+    names = "doc_id bigint, text string, split string, source string, ids int, n int, copies int, u double, cdf int, class_id int, counts int, stuffed int, unit int, c1 int, is_train boolean, kinds int, places int, rec_id int, k int, n_tokens int"
+    body = "De patiënt kwam met klachten van moeheid en werd na enkele weken weer gezien op de polikliniek door dezelfde arts. "
+    rows = [(None, body * 2, "train", "a"), (1, body * 2, "test", "a"), (2, None, None, None), (3, "", "train", None), (4, "kopen, bestellen, " * 9, "train", "b")]
+    df = spark.createDataFrame([(*r, *(None,) * (len(names.split(", ")) - 4)) for r in rows], names)
+    assert {r.doc_id for r in stuffing.find_stuffed(df).collect()} == {4}
+    assert mojibake.find_garbled(df).count() == 0 and pii.find_pii(df, "doc_id", "text").count() == 0
+    member, pairs = overlap.classes(df)
+    assert member.count() == 2 and [(r.eval_copies, r.train_copies, r.similarity) for r in pairs.collect()] == [(1, 1, 1.0)]
+    targets = spark.createDataFrame([("a", 1.0, 1), (None, None, None), ("b", None, 2), ("c", 2.0, None)], "source string, target_weight double, max_repeats int")
+    got = {r.source: r for r in mix.shares(df, targets).collect()}
+    assert set(got) == {"a", "b", "c"} and got["a"].docs == 2 and got["b"].tokens == 0
+    assert {r.source for r in mix.mixture(df, targets).collect()} <= {"a"}
+    assert {r.doc_id: r.ids for r in bpe.encode_corpus(df).collect()}[2] == []
+
+
+def test_containers_with_null_keys_and_clashing_names(spark):
+    rows = [(None, [1, 2], None, 0, 0, 0), (None, [3], [1], 0, 0, 0), (1, None, None, 0, 0, 0), (2, [None, 5], [1, None], 0, 0, 0)]
+    items = spark.createDataFrame(rows, "item_id bigint, input_ids array<int>, attention_mask array<int>, n int, ids int, container_id int")
+    got = pack.pack(items, capacity=4).collect()
+    assert sum(r.used for r in got) == sum(len(r.input_ids) for r in got) and all(r.used <= 4 for r in got)
+    assert split.split_ids(items).count() == 0
+
+
+def test_one_very_long_text(spark):
+    text = "De patiënt heeft pijn en krijgt rust en dieet. " * 60_000 + "Gebeld door Willem."
+    df = spark.createDataFrame([(1, text, "train", "s", ""), (2, "x" * 400_000, "test", "s", "")], DOCS)
+    assert {(r.rec_id, tuple(r.kinds)) for r in pii.find_pii(df, "doc_id", "text").collect()} == {(1, ("name",))}
+    assert stuffing.find_stuffed(df).count() == 0
+    assert split.split_texts(df).filter("length(text) > 3000").count() == 0
+
+
+def test_one_text_and_one_source_in_a_third_of_the_rows(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    hot = " ".join(word() for _ in range(40))
+    rows = [(i, hot if i % 3 == 0 else " ".join(word() for _ in range(40)), "test" if i % 2 else "train", "hot" if i % 3 == 0 else f"s{i % 40}", "") for i in range(1200)]
+    df = spark.createDataFrame(rows, DOCS)
+    member, pairs = overlap.classes(df)
+    row = pairs.collect()
+    assert len(row) == 1 and (row[0].eval_copies, row[0].train_copies) == (200, 200)
+    assert member.count() == 1200 and member.filter(f"class_id in ({row[0].eval_class}, {row[0].train_class})").count() == 400
+    assert overlap.cross_split_pairs(df).count() == 40_000

@@ -4,7 +4,7 @@ Runs of non-ASCII characters are mapped back to the bytes that a legacy characte
 over the byte structure of UTF-8 finds the maximal well-formed multibyte spans in them, and only those spans are
 decoded; this repeats while anything changes, which undoes double encodings. The character set of a run is the one whose
 spans cover most of it. Spans are kept only where they make sense: their characters are of western text, and their
-neighbours do not show that the run is proper foreign script or capitals.
+neighbours do not show that the run is proper foreign script or capitals; or at least LONG of them have one script.
 
 Bytes of a single-byte set shown in another one have no multibyte structure. They are found by their place instead:
 C1 controls, and signs, capitals or foreign letters inside Latin words that become small Latin letters when mapped back.
@@ -29,6 +29,10 @@ CHARSETS = ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1250", "cp125
 #: Sets in which single bytes of cp1252 are wrongly shown.
 SINGLE = ("cp850", "cp437", "mac_roman", "cp1251", "koi8-r", "cp866", "cp1250", "cp1253")
 _RUN = re.compile(r"[^\x00-\x7f]{2,}")
+#: Scripts that one language mixes, fixed values.
+EAST_ASIAN = ("CJK", "HIRAGANA", "KATAKANA", "KATAKANA-HIRAGANA", "HANGUL")
+#: Decoded characters of one script that make a foreign span.
+LONG = 4
 _CONTROL = re.compile(r"[\x80-\x9f]")
 _ODD = re.compile(r"[\x80-\x9f�]")
 _LOST_SPACE = re.compile(r"(?<![^\W\d_])Ã(?: (?= )|(?= \S))")
@@ -74,11 +78,23 @@ def _script(c: str) -> str:
     return unicodedata.name(c, "").split(" ")[0] if c.isalpha() else ""
 
 
-def _sense(shown: str, decoded: str, before: str, after: str) -> bool:
-    """Whether a maximal span may be decoded where it stands."""
+def _one_script(text: str) -> str:
+    """The script that all letters of a text have; empty if there are several, or none, or other than letters."""
+    scripts = {_script(c) for c in text if not unicodedata.category(c).startswith("M")}
+    scripts = {"CJK" if s in EAST_ASIAN else s for s in scripts}
+    return scripts.pop() if len(scripts) == 1 else ""
+
+
+def _sense(shown: str, decoded: str, before: str, after: str, seen: set[str]) -> bool:
+    """Whether a maximal span may be decoded where it stands. Other than western characters make sense if at least LONG
+    of them have one script, or if the text has such a span of that script already."""
     astral = all(ord(c) > 0xFFFF or c in "️‍" for c in decoded)
     if not astral and not all(c in _WESTERN or 0x80 <= ord(c) < 0xA0 for c in decoded):
-        return False
+        script = _one_script(decoded)
+        if not script or len(decoded) < LONG and script not in seen:
+            return False
+        seen.add(script)
+        return True
     script = _script(shown[0])
     if script and script != "LATIN" and script in (_script(before), _script(after)):
         return False
@@ -92,12 +108,16 @@ def _twice(decoded: str) -> bool:
     return len(decoded) > 1 and _decode_run(decoded, 0, len(decoded))[1] == len(decoded)
 
 
-def _decode_run(text: str, start: int, end: int) -> tuple[str, int]:
-    """The run with its spans decoded by the set that covers most of it, and the number of characters covered."""
+def _decode_run(text: str, start: int, end: int, scripts: set[str] | None = None) -> tuple[str, int]:
+    """The run with its spans decoded by the set that covers most of it, and the number of characters covered. Scripts of
+    long foreign spans are added to ``scripts``."""
     run, best, most = text[start:end], "", 0
+    known: set[str] = set() if scripts is None else scripts
+    won = known
     for charset, (back, lost) in TABLES.items():
         data = [back.get(c, lost if c == "�" else None) for c in run]
         out, covered, i = [], 0, 0
+        mine = set(known)
         while i < len(run):
             spans, j = [], i
             while j < len(run) and (n := well_formed(data, j)):
@@ -106,7 +126,7 @@ def _decode_run(text: str, start: int, end: int) -> tuple[str, int]:
             if spans:
                 decoded = bytes(data[i:j]).decode("utf-8")
                 before, after = text[start + i - 1 : start + i], text[start + j : start + j + 1]
-                if (_twice(decoded) or not _CONTROL.search(decoded)) and _sense(run[i:j], decoded, before, after):
+                if (_twice(decoded) or not _CONTROL.search(decoded)) and _sense(run[i:j], decoded, before, after, mine):
                     out.append(decoded)
                     covered += j - i
                 else:
@@ -116,18 +136,19 @@ def _decode_run(text: str, start: int, end: int) -> tuple[str, int]:
                 out.append(run[i])
                 i += 1
         if covered > most:
-            best, most = "".join(out), covered
+            best, most, won = "".join(out), covered, mine
+    known |= won
     return (best, most) if most else (run, 0)
 
 
 def _multibyte(text: str) -> tuple[str, int]:
     """All runs of a text, repeated while they change; the number of spans decoded. It ends, because every pass that
     decodes a span shortens the text."""
-    total = 0
+    total, scripts = 0, set()
     while True:
         parts, last, hits = [], 0, 0
         for m in _RUN.finditer(text):
-            fixed, covered = _decode_run(text, m.start(), m.end())
+            fixed, covered = _decode_run(text, m.start(), m.end(), scripts)
             if covered:
                 parts += [text[last : m.start()], fixed]
                 last = m.end()

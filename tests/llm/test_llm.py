@@ -46,6 +46,13 @@ def test_garbled_round_trip(charset):
     assert n and whole and fixed == DUTCH
 
 
+@pytest.mark.parametrize("text", ["привет как дела на этой неделе", "Ελληνικά και ο ασθενής", "зелёный цвет в нём", "日本語の要約です", "שלום לך"])
+@pytest.mark.parametrize("charset", ["cp1252", "latin-1"])
+def test_garbled_foreign_scripts(text, charset):
+    fixed, n, whole = mojibake.repair(garble(text, charset))
+    assert n and fixed == text and mojibake.repair(text)[:2] == (text, 0)
+
+
 def test_garbled_twice_and_single():
     fixed, n, _ = mojibake.repair(garble(garble("geëvalueerde crème, één", "cp1252"), "cp1252"))
     assert n and fixed == "geëvalueerde crème, één"

@@ -26,21 +26,21 @@ def shuffled(df: DataFrame, key: str, seed: object = 42, groups: Sequence[str] =
 
 
 def windowed_shuffle(df: DataFrame, key: str, window: int, iterations: int = 1, seed: object = 42) -> DataFrame:
-    """Rows are shuffled inside windows of the current order, the windows among themselves; repeated. The order is cut
-    off from what made it between iterations; pass keys alone, the other columns can be joined to the result."""
-    out = ordinal(df, [key], "pos")
+    """Rows are shuffled inside windows of the current order, the windows among themselves; repeated. Each order is cut off
+    from what made it; pass keys alone, the other columns can be joined to the result."""
+    rows = df.count()
+    out = ordinal(df, [key], "pos", rows=rows)
     for i in range(iterations):
-        if i:
-            out = cut(out)
+        out = cut(out)
         w = F.floor(F.col("pos") / window)
         keyed = out.withColumn("__w", md5_of(f"{seed}:{i}:w", w)).withColumn("__r", md5_of(f"{seed}:{i}:r", key)).drop("pos")
-        out = ordinal(keyed, ["__w", "__r", key], "pos").drop("__w", "__r")
+        out = ordinal(keyed, ["__w", "__r", key], "pos", rows=rows).drop("__w", "__r")
     return out
 
 
 def block_shuffle(df: DataFrame, key: str, buffer: int, shards: int = 1, shard: int = 0, max_items: int | None = None, seed: object = 42) -> DataFrame:
     """Takes every shards-th row, fills a buffer, shuffles and drains it; stops after max_items."""
-    mine = ordinal(df, [key], "__i").filter(F.pmod("__i", F.lit(shards)) == shard).withColumn("__k", F.floor(F.floor(F.col("__i") / shards) / buffer)).drop("__i")
+    mine = cut(ordinal(df, [key], "__i")).filter(F.pmod("__i", F.lit(shards)) == shard).withColumn("__k", F.floor(F.floor(F.col("__i") / shards) / buffer)).drop("__i")
     out = ordinal(mine.withColumn("__r", md5_of(seed, key)), ["__k", "__r", key], "pos").drop("__k", "__r")
     return out if max_items is None else out.filter(F.col("pos") < max_items)
 
@@ -86,7 +86,7 @@ def tiles(df: DataFrame, key: str, parts: int, name: str = "part") -> DataFrame:
     edge = more * (small + 1)
     pos = F.col("pos")
     tile = F.when(pos < edge, F.floor(pos / (small + 1))).otherwise(more + F.floor((pos - edge) / max(small, 1)))
-    return ordinal(df, [key], "pos").withColumn(name, tile.cast("int"))
+    return ordinal(df, [key], "pos", rows=total).withColumn(name, tile.cast("int"))
 
 
 def batches(df: DataFrame, key: str, size: int, drop_last: bool = False) -> DataFrame:
@@ -101,7 +101,7 @@ def distributed_sample(df: DataFrame, key: str, replicas: int, epoch: int = 0, s
     """rank and step of each row of an epoch: shuffled by seed + epoch, dealt round robin; the tail is dropped, or
     filled by repeating the first rows, so that all ranks have as many."""
     total = df.count()
-    placed = hash_ordinal(df, seed + epoch, [key], "pos")
+    placed = hash_ordinal(df, seed + epoch, [key], "pos", rows=total)
     if drop_last:
         placed = placed.filter(F.col("pos") < total // replicas * replicas)
     elif total and total % replicas:

@@ -53,26 +53,26 @@ def _rows(df: DataFrame) -> int:
     return df.select(F.lit(1)).count()
 
 
-def hash_ordinal(df: DataFrame, seed: object, keys: Sequence[str], name: str = "pos", groups: Sequence[str] = (), bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def hash_ordinal(df: DataFrame, seed: object, keys: Sequence[str], name: str = "pos", groups: Sequence[str] = (), bucket_rows: int = BUCKET_ROWS, rows: int | None = None) -> DataFrame:
     """0-based position of each row in the order md5(seed, keys), keys: a full seeded shuffle, per group if groups
     are given. The leading hex digits split the order into equal ranges, 256 or as many as the counted rows need, so no
     sampling is needed and a hot group is numbered by all of them. Keys must be unique per row for a defined result; ties
-    are broken by the keys."""
+    are broken by the keys. The number of rows can be given where it is known."""
     order = [F.col("__h"), *[F.col(k) for k in keys]]
-    rows, digits = _rows(df), 2
+    rows, digits = _rows(df) if rows is None else rows, 2
     while rows > bucket_rows * 16**digits:
         digits += 1
     hashed = df.withColumn("__h", md5_of(seed, *keys)).withColumn("__bucket", F.substring("__h", 1, digits))
     return _number(hashed, "__bucket", order, name, groups).drop("__h")
 
 
-def ordinal(df: DataFrame, keys: Sequence[str], name: str = "pos", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def ordinal(df: DataFrame, keys: Sequence[str], name: str = "pos", bucket_rows: int = BUCKET_ROWS, rows: int | None = None) -> DataFrame:
     """0-based position of each row in the order of keys (which must be unique per row; nulls first).
 
     The bounds of the buckets come from the rows whose key hash is small, ``DRAWN`` per bucket: a seedless sample that
     every run takes alike. Up to 64 bounds are tested one by one; each of these ranges has its own list of finer bounds,
     joined by range. Empty input gives an empty frame with the new column."""
-    rows = _rows(df)
+    rows = _rows(df) if rows is None else rows
     buckets = max(LEAST_BUCKETS, -(-rows // bucket_rows))
     share = min(1.0, 1.5 * DRAWN * buckets / max(rows, 1))
     sample = df.select(*keys).filter(F.pmod(F.xxhash64(*keys), F.lit(1 << 30)) < int(share * (1 << 30))).collect()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from korrel.functions import registry
 from korrel.functions import text as t
+from korrel.operators.chunks import chunked
 from korrel.plans.corpus import sql_chain, sql_words
 from korrel.session import read, scratch
 from korrel.sources import files, sinks
@@ -182,6 +183,27 @@ def source_txt(spark: SparkSession, d: str) -> DataFrame:
     return parts.select("ix", "text")
 
 
+def source_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of text files in latin-1 that are split among tasks: how often each line occurs, and the sum of their places
+    against what it must be."""
+    root = scratch(spark, "lines")
+    read(spark, d, "documents").select("source").filter("source is not null").repartition(3, "source").write.text(root)
+    rows = files.read_lines(spark, root)
+    wrong = rows.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("ix").alias("m"), F.max("ix").alias("x")).filter("n <> m or x <> n - 1")
+    return rows.groupBy("text").agg(F.count(F.lit(1)).alias("n")).unionByName(wrong.select(F.lit("files numbered wrongly").alias("text"), "n"))
+
+
+def sink_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks written as JSON lines and as Parquet with array columns, read back from both."""
+    root = scratch(spark, "chunks")
+    chunks = chunked(read(spark, d, "tokenized_examples"), "input_ids", 128, ["item_id"])
+    chunks.write.json(f"{root}/json")
+    chunks.write.parquet(f"{root}/parquet")
+    a = spark.read.schema("item_id bigint, chunk_ix int, chunk array<int>").json(f"{root}/json")
+    both = a.withColumn("form", F.lit("json")).unionByName(spark.read.parquet(f"{root}/parquet").withColumn("form", F.lit("parquet")))
+    return both.select("form", "item_id", "chunk_ix", F.size("chunk").alias("n"))
+
+
 def _lines(spark: SparkSession, d: str) -> DataFrame:
     """Raw records of JSON files that are one line each."""
     one = r"[\r\n]"
@@ -199,7 +221,7 @@ QUERIES = {
     for f in (
         sink_combined_parquet, sink_combined_json, sink_merge, sink_jsonl_per_file, sink_fixed_rows, sink_near_equal, sink_keep, sink_dry_run, sink_result_csv,
         sink_projected, source_declared_json, source_csv_dictionary, source_splits, source_pretokenized, source_texts, source_shuffled, source_header, source_listing,
-        source_jsonl_repair, source_skipping, source_txt, registered_functions,
+        source_jsonl_repair, source_skipping, source_txt, source_lines, sink_chunks, registered_functions,
     )
 }
 _SANE = lambda c: sql_chain(f"coalesce({c}, '')", ((t.CONTROLS, ""), (t.SINGLE_QUOTES, ""), (t.DOUBLE_QUOTES, "")))
@@ -225,5 +247,8 @@ SQL = {
     "source_header": "select (row_number() over () - 1)::int as place, column_name as name from (describe documents)",
     "source_listing": "select regexp_extract(file_name, '([a-z]+)$', 1) as form, count(distinct file_name) as inputs from raw_records group by 1",
     "source_txt": "select (row_number() over (order by file_name) - 1)::int as ix, file_name as text from file_catalog",
+    "source_lines": "select source as text, count(*) as n from documents where source is not null group by 1",
+    "sink_chunks": """with c as (select item_id, input_ids as a, unnest(range(ceil(len(input_ids) / 128.0)::bigint)) as k from tokenized_examples)
+        select form, item_id, k::int as chunk_ix, least(128, len(a) - k * 128)::int as n from c, (values ('json'), ('parquet')) f(form)""",
     "registered_functions": f"select doc_id, coalesce(len({sql_words('text')}), 0)::int as n_words, md5({_SANE('text')}) as sane, md5({_STRIPPED}) as stripped from documents",
 }

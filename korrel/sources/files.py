@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from korrel.functions.text import strip
-from korrel.ordering import md5_of
+from korrel.ordering import md5_of, ordinal
+from korrel.session import broadcast_if_small
 
 CANONICAL = T.StructType([
     T.StructField("id", T.StringType()), T.StructField("text", T.StringType()), T.StructField("source", T.StringType()),
@@ -53,8 +54,9 @@ def read_jsonl(spark: SparkSession, paths: str | Sequence[str], strict: bool = F
 
 
 def read_txt(spark: SparkSession, paths: str | Sequence[str], separator: str | None = None, charset: str = "ISO-8859-1") -> DataFrame:
-    """file, ix, text in one charset, split at a literal separator or at line ends. Spark's text reader knows neither the
-    charset nor all line ends of splitlines, so a file is one value here: for many small files, as the blueprint has."""
+    """file, ix, text in one charset, split at a literal separator or at line ends. A file is one value here,
+    because a reader of lines knows neither all line ends of splitlines nor the empty text behind a last separator: for
+    many small files; read_lines takes large ones."""
     raw = spark.read.format("binaryFile").load(paths)
     body = F.decode("content", charset)
     if separator is None:
@@ -65,6 +67,16 @@ def read_txt(spark: SparkSession, paths: str | Sequence[str], separator: str | N
     return raw.select(F.col("path").alias("file"), F.posexplode(parts).alias("ix", "text"))
 
 
+def read_lines(spark: SparkSession, paths: str | Sequence[str], separator: str | None = None, charset: str = "ISO-8859-1") -> DataFrame:
+    """file, ix, text of text files of any size, which are split among tasks: cut at a literal separator of one to a few
+    bytes, or at line feeds and carriage returns. As a reader of lines it gives nothing behind a last separator."""
+    reader = spark.read if separator is None else spark.read.option("lineSep", separator)
+    rows = reader.text(paths).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("__b"), F.monotonically_increasing_id().alias("__m"), F.decode(F.col("value").cast("binary"), charset).alias("text"))
+    placed = ordinal(rows, ["file", "__b", "__m"], "__p")
+    first = placed.groupBy("file").agg(F.min("__p").alias("__first"))
+    return placed.join(broadcast_if_small(first), "file").select("file", (F.col("__p") - F.col("__first")).alias("ix"), "text")
+
+
 def listing(spark: SparkSession, directory: str, pattern: str = "*") -> DataFrame:
     """path, length of the files below a directory, sorted by path."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(directory)

@@ -342,6 +342,22 @@ def test_overlap_against_brute_force(spark):
     assert exact == sum(v.count("train") * (len(v) - v.count("train")) for v in canon.values())
 
 
+def test_split_hot_triples_lose_no_pair(spark, monkeypatch):
+    rng = random.Random(2)
+    rows = []
+    for i in range(240):  # one text in a third of the rows, each time with other words changed: all share triples
+        ws = [f"w{j}" for j in range(30)] if i % 3 == 0 else [f"v{rng.randint(0, 50)}" for _ in range(30)]
+        ws[rng.randrange(30)] = f"x{rng.randint(0, 99)}"
+        rows.append((i, " ".join(ws), rng.choice(["train", "test"]), "s", ""))
+    df = spark.createDataFrame(rows, DOCS)
+    monkeypatch.setattr(overlap, "HOT_ROWS", 10)
+    sides = overlap._sides(df, "split")
+    counts = overlap._frequencies(overlap.signatures(sides, "doc_id", "text", 3, 20))
+    assert overlap.parts_of(counts).max() > 3
+    got = [(r.eval_id, r.train_id) for r in overlap.cross_split_pairs(df).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(rows) and len(got) > 500
+
+
 def test_words():
     assert overlap.words_of("ﬁjn Één_twee 1½ ①") == ["fijn", "één", "twee", "11", "2", "1"]
 

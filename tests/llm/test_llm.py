@@ -358,6 +358,32 @@ def test_split_hot_triples_lose_no_pair(spark, monkeypatch):
     assert len(got) == len(set(got)) and set(got) == brute(rows) and len(got) > 500
 
 
+def test_rounds_bound_the_rows_that_meet_and_lose_no_pair(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = []
+    for i in range(400):  # a template that all rows share: all pairs of rows meet
+        ws = [f"w{j}" for j in range(40)]
+        for _ in range(rng.choice([0, 1, 3, 6])):
+            ws[rng.randrange(40)] = f"x{rng.randint(0, 999)}"
+        rows.append((i, " ".join(ws), rng.choice(["train", "train", "train", "test"]), "s", ""))
+    df = spark.createDataFrame(rows, DOCS)
+    met, first, all_rounds = [], overlap._round, {"ROUND_TRIPLES": 0, "SLOTS": 16, "FIRST": 2, "WIDEST": 8}
+    monkeypatch.setattr(overlap, "_round", lambda *x: (r := first(*x), met.append(r[1]))[0])
+    want = brute(rows)
+
+    def run(**settings):
+        met.clear()
+        for k, v in settings.items():
+            monkeypatch.setattr(overlap, k, v)
+        got = [(r.eval_id, r.train_id) for r in overlap.cross_split_pairs(df).collect()]
+        assert len(got) == len(set(got)) and set(got) == want and len(got) > 500
+        return list(met)
+
+    (whole,) = run()
+    wide, narrow = run(**all_rounds), run(ROUND_ROWS=whole // 6)
+    assert sum(wide) == sum(narrow) == whole and len(wide) == 3 < len(narrow) and max(narrow) < whole / 2
+
+
 def test_words():
     assert overlap.words_of("ﬁjn Één_twee 1½ ①") == ["fijn", "één", "twee", "11", "2", "1"]
 

@@ -5,7 +5,8 @@ names. It reads the whole of every text, without a gate before it. A text is cut
 a unit longer than ``WINDOW`` characters is read in windows that overlap by ``OVERLAP``. Each window is decoded with the
 CRF, and the windows are reconciled over the whole text: a character takes its label from the window in which it is
 most central, and spans that continue across a seam are joined. Units that are the same to the tagger (all digits are
-one class of characters) are read once in a batch of rows, which changes no result.
+one class of characters) are read once in a batch of rows, and what units have in common at their beginnings (read
+forwards) or ends (read backwards) is read once too. Neither changes a result: each unit is read as if it were alone.
 
 A last exact check drops spans that
 lack what their kind must have (digits for numbers and addresses, an at sign for e-mail).
@@ -18,7 +19,7 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -28,9 +29,9 @@ from pyspark.sql import functions as F
 from korrel.llm.tagger import FREE, KINDS, BiLstmCrf, encode
 
 WEIGHTS = os.path.join(os.path.dirname(__file__), "pii_weights.npz")
-WINDOW, OVERLAP, BATCH = 512, 48, 512
-#: Characters that are read together.
-CHARS = 8_000_000
+WINDOW, OVERLAP, BATCH = 512, 48, 1024
+#: Characters that are read together, and that are cut into units together.
+CHARS, CUT = 16_000_000, 2_000_000
 _DIGIT = re.compile(r"\d")
 _AT = re.compile(r"@|[(\[{]\s*(?:at|apenstaartje|æ)\s*[)\]}]|\bat\b", re.I)
 _LETTERS = re.compile(r"[^\W\d_]{2,}")
@@ -86,18 +87,27 @@ def unit_ends(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 def units_of(texts: list[str]) -> tuple[list[bytes], list[list[int]]]:
     """The distinct units of texts, as character classes, and the units of each text by number."""
+    seen: dict[bytes, int] = {}
+    laid: list[list[int]] = [[] for _ in texts]
+    ends = np.cumsum([len(t) for t in texts])
+    cuts = np.searchsorted(ends, np.arange(CUT, ends[-1], CUT)).tolist() if len(texts) else []
+    for low, high in zip([0, *cuts], [*cuts, len(texts)]):
+        if low < high:
+            _lay(texts[low:high], seen, laid[low:high])
+    return list(seen), laid
+
+
+def _lay(texts: list[str], seen: dict[bytes, int], laid: list[list[int]]) -> None:
+    """Adds the units of texts to those seen and their numbers to the texts' lists."""
     size = np.array([len(t) for t in texts], np.int64)
     starts = np.r_[0, np.cumsum(size + 1)[:-1]].astype(np.int64)
     codes = encode("\x7f".join(texts))
     whole = codes.tobytes()
     bounds = np.unique(np.concatenate([starts, starts + size, unit_ends(codes, starts)]))
     owner = np.searchsorted(starts, bounds, "right") - 1
-    seen: dict[bytes, int] = {}
-    laid: list[list[int]] = [[] for _ in texts]
     for a, b, i, last in zip(bounds.tolist(), bounds[1:].tolist(), owner.tolist(), (starts + size)[owner].tolist()):
         if a < last:
             laid[i].append(seen.setdefault(whole[a:b], len(seen)))
-    return list(seen), laid
 
 
 #: Classes behind which a full stop ends a unit: digits and closing signs.
@@ -142,22 +152,12 @@ class Finder:
         self.model = BiLstmCrf.load(path)
 
     def label(self, encoded: list[np.ndarray]) -> list[np.ndarray]:
-        """Labels of windows of any lengths up to WINDOW; windows of like length are run together."""
-        out: list[np.ndarray | None] = [None] * len(encoded)
-        order = sorted(range(len(encoded)), key=lambda i: len(encoded[i]))
-        for at in range(0, len(order), BATCH):
-            group = order[at : at + BATCH]
-            x = np.zeros((len(group), len(encoded[group[-1]])), np.uint8)
-            for row, i in zip(x, group):
-                row[: len(encoded[i])] = encoded[i]
-            path = np.ascontiguousarray(self.model.decode(self.model.emissions(np.ascontiguousarray(x.T))).T)
-            for row, i in zip(path, group):
-                out[i] = row[: len(encoded[i])]
-        return out
+        """Labels of windows of any lengths up to WINDOW, each as if it were read alone."""
+        return self.model.paths(encoded, BATCH)
 
     def unit_labels(self, units: list[bytes]) -> list[np.ndarray]:
         """Labels of whole units, their windows reconciled: the seam between two lies in the middle of their overlap."""
-        places = [windows(0, len(u)) for u in units]
+        places = [windows(0, len(u)) if len(u) > WINDOW else [(0, len(u))] for u in units]
         labels = self.label([np.frombuffer(u, np.uint8)[s:e] for u, w in zip(units, places) for s, e in w])
         out, i = [], 0
         for u, w in zip(units, places):
@@ -202,20 +202,30 @@ def replace_spans(text: str, spans: list[tuple[int, int, str]]) -> str:
     return "".join([*parts, text[last:]])
 
 
+def pieces(rows: Iterable[tuple]) -> Iterator[tuple[list, list[str]]]:
+    """Keys and texts of rows in lists of CHARS characters, whatever the size of the batches they came in; a longer text is
+    in a list of its own."""
+    keys, bodies, held = [], [], 0
+    for k, t in rows:
+        if held and held + len(t) > CHARS:
+            yield keys, bodies
+            keys, bodies, held = [], [], 0
+        keys.append(k)
+        bodies.append(t)
+        held += len(t)
+    if keys:
+        yield keys, bodies
+
+
 def find_pii(texts: DataFrame, key: str, text: str, path: str = WEIGHTS) -> DataFrame:
     """key, kinds (distinct, sorted), n_mentions and the text with placeholders of every row that has a mention: one
     narrow pass."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tag = finder(path)
-        for b in batches:
-            keys, bodies = b.iloc[:, 0].tolist(), b.iloc[:, 1].tolist()
-            size = np.cumsum([len(t) for t in bodies])
-            parts = np.searchsorted(size, np.arange(CHARS, size[-1] + CHARS, CHARS), "right") if len(size) else []
-            for s, e in zip([0, *parts], [*parts, len(bodies)]):
-                if s < e:
-                    rows = [(k, sorted({x[2] for x in f}), len(f), replace_spans(t, f)) for k, t, f in zip(keys[s:e], bodies[s:e], tag.find(bodies[s:e])) if f]
-                    yield pd.DataFrame(rows, columns=["rec_id", "kinds", "n_mentions", "clean"])
+        for keys, bodies in pieces((r for b in batches for r in zip(b.iloc[:, 0].tolist(), b.iloc[:, 1].tolist()))):
+            rows = [(k, sorted({x[2] for x in f}), len(f), replace_spans(t, f)) for k, t, f in zip(keys, bodies, tag.find(bodies)) if f]
+            yield pd.DataFrame(rows, columns=["rec_id", "kinds", "n_mentions", "clean"])
 
     kind = texts.schema[key].dataType.simpleString()
     return texts.select(key, text).filter(F.length(text) > 0).mapInPandas(run, f"rec_id {kind}, kinds array<string>, n_mentions int, clean string")

@@ -17,6 +17,10 @@ KINDS = ("email", "phone", "idnum", "address", "name")
 LABELS = ("O", *(f"B-{k}" for k in KINDS), *(f"I-{k}" for k in KINDS))
 FREE = 1 + len(KINDS)
 _PLAIN = 128
+#: Columns that are read together.
+COLUMNS = 2048
+#: Windows whose ends are read together.
+PART = 16_384
 
 
 def _char_table() -> np.ndarray:
@@ -135,33 +139,140 @@ class BiLstmCrf:
                 scores[last] += (0.5 * self.p["O" + d]) @ state
         return scores
 
-    def decode(self, scores: np.ndarray) -> np.ndarray:
+    def _read(self, flat: np.ndarray, first: np.ndarray, size: np.ndarray, d: str) -> tuple[np.ndarray, np.ndarray]:
+        """One direction over windows of class ids that lie in ``flat``, from their places ``first`` on; they are in the
+        order of what is read. A beginning that windows have in common is read once. Scores (beginnings, K) and, for each
+        place, the beginning that ends there."""
+        h, k, step = self.hidden, len(LABELS), 1 if d == "f" else -1
+        # Sigmoids are 1 / (1 + exp(-z)), tanh(z) is twice the sigmoid of 2z less 1. Cell and state are kept halved, so
+        # that the factor of two is in the weights that read them.
+        w = -self.p["W" + d]
+        w[3 * h :] *= 2
+        w[:, :h] *= 2
+        out, emb = np.ascontiguousarray(2 * self.p["O" + d].T), np.ascontiguousarray(self.p["emb"].T)
+        scores, node_at = np.empty((len(flat), k), np.float32), np.empty(len(flat), np.int32)  # unused rows take no memory
+        rows = 2 * h + self.width + 1
+        space, held = np.empty((rows + 7 * h) * COLUMNS, np.float32), np.empty((2, 2 * h * max(1, len(first))), np.float32)
+
+        def step_on(old: np.ndarray, before: np.ndarray, code: np.ndarray) -> np.ndarray:
+            """Cells and states (2H, n) behind the characters ``code``, from columns ``before`` of the old ones."""
+            n = len(code)
+            x, rest = space[: rows * n].reshape(rows, n), space[rows * n : (rows + 7 * h) * n].reshape(7 * h, n)
+            z, th, now = rest[: 4 * h], rest[4 * h : 5 * h], rest[5 * h :]
+            np.take(old, before, axis=1, out=x[: 2 * h], mode="clip")
+            np.take(emb, code, axis=1, out=x[2 * h : -1], mode="clip")
+            x[-1] = 1
+            np.dot(w, x[h:], out=z)
+            np.exp(z, out=z)
+            np.add(z, 1, out=z)
+            np.divide(1, z, out=z)
+            g, cell = z[3 * h :], now[:h]
+            np.subtract(g, 0.5, out=g)
+            np.multiply(g, z[:h], out=g)
+            np.multiply(x[:h], z[h : 2 * h], out=cell)
+            np.add(cell, g, out=cell)
+            np.multiply(cell, -4, out=th)
+            np.exp(th, out=th)
+            np.add(th, 1, out=th)
+            np.divide(1, th, out=th)
+            np.subtract(th, 0.5, out=th)
+            np.multiply(z[2 * h : 3 * h], th, out=now[h:])
+            return now
+
+        old, total, turn = np.zeros((2 * h, 1), np.float32), 0, 0
+        some = np.flatnonzero(size)
+        place, stop, at = first[some].astype(np.intp), (first + step * size)[some].astype(np.intp), np.zeros(len(some), np.intp)
+        split = np.zeros(len(some), bool)
+        split[:1] = True  # where a window differs from the one before it
+        with np.errstate(over="ignore"):
+            while len(place):
+                code = np.take(flat, place)
+                split[1:] |= code[1:] != code[:-1]
+                heads = np.flatnonzero(split)
+                count = len(heads)
+                if count == len(place):
+                    node, before = np.arange(count), at
+                else:
+                    node, before, code = np.cumsum(split) - 1, np.take(at, heads), np.take(code, heads)
+                node_at[place] = node + total
+                code, new = code.astype(np.intp), held[turn, : 2 * h * count].reshape(2 * h, count)
+                for a in range(0, count, COLUMNS):
+                    b = min(a + COLUMNS, count)
+                    now = step_on(old, before[a:b], code[a:b])
+                    new[:, a:b] = now
+                    np.dot(now[h:].T, out, out=scores[total + a : total + b])
+                old, at, total, turn = new, node, total + count, 1 - turn
+                place += step
+                going = place != stop
+                on = np.flatnonzero(going)
+                if len(on) < len(place):
+                    split[1:] |= ~going[:-1]
+                    place, stop, at, split = np.take(place, on), np.take(stop, on), np.take(at, on), np.take(split, on)
+        return scores[:total], node_at
+
+    def paths(self, windows: list[np.ndarray], batch: int = 512) -> list[np.ndarray]:
+        """Best label path of each window of class ids, as if it were read alone; windows share what they have in common
+        at their beginnings, read forwards, and at their ends, read backwards."""
+        size = np.array([len(x) for x in windows], np.int64)
+        paths = [np.zeros(0, np.int8)] * len(windows)
+        if not size.sum():
+            return paths
+        flat = np.concatenate(windows)
+        first = np.cumsum(size) - size
+        whole, back = flat.tobytes(), flat[::-1].tobytes()
+        n, ends = len(flat), (first + size).tolist()
+        places = list(zip(first.tolist(), ends))
+        ahead = np.array(sorted(range(len(windows)), key=lambda i: whole[places[i][0] : places[i][1]]))
+        behind = np.array(sorted(range(len(windows)), key=lambda i: back[n - places[i][1] : n - places[i][0]]))
+        forward, f_at = self._read(flat, first[ahead], size[ahead], "f")
+        for a in range(0, len(behind), PART):
+            part = behind[a : a + PART]
+            backward, b_at = self._read(flat, (first + size - 1)[part], size[part], "b")
+            part = part[np.argsort(size[part], kind="stable")]
+            part = part[np.searchsorted(size[part], 1) :]
+            for c in range(0, len(part), batch):
+                group = part[c : c + batch]
+                at = first[group] + np.minimum(np.arange(size[group[-1]])[:, None], size[group] - 1)
+                scores = np.take(forward, np.take(f_at, at), axis=0)
+                scores += np.take(backward, np.take(b_at, at), axis=0)
+                scores += self.p["c"]
+                found = np.ascontiguousarray(self.decode(np.ascontiguousarray(scores.transpose(0, 2, 1)), size[group]).T)
+                for i, row, last in zip(group.tolist(), found, size[group].tolist()):
+                    paths[i] = row[:last]
+        return paths
+
+    def decode(self, scores: np.ndarray, sizes: np.ndarray | None = None) -> np.ndarray:
         """Best label path (T, B) of scores (T, K, B) under the CRF transitions. I-x follows only B-x and I-x, so a step
-        is one sum and maximum over all labels for O and the B-, and one over two labels for each I-."""
+        is one sum and maximum over all labels for O and the B-, and one over two labels for each I-. With ``sizes``,
+        which grow, column i ends after sizes[i] steps, and what its path has behind them means nothing."""
         steps, k, batch = scores.shape
+        sizes = np.full(batch, steps) if sizes is None else sizes
+        live = np.searchsorted(sizes, np.arange(steps), "right").tolist()  # the first column that goes on at a step
         move = self.p["T"]
         free, turn, stay = move[:, :FREE, None], np.diag(move[1:FREE, FREE:])[:, None], np.diag(move[FREE:, FREE:])[:, None]
-        best = np.empty((steps, k, batch), np.float32)
+        best = np.zeros((steps, k, batch), np.float32)
         best[0] = scores[0] + (self.p["start"] + np.r_[np.zeros(FREE), np.full(k - FREE, -1e4)].astype(np.float32))[:, None]
         sums = np.empty((k, FREE, batch), np.float32)
         plain = np.ones(batch, bool)
         for t in range(1, steps):
-            last, now = best[t - 1], best[t]
-            np.add(last[:, None, :], free, out=sums)
-            np.max(sums, axis=0, out=now[:FREE])
+            lo = live[t]
+            last, now = best[t - 1, :, lo:], best[t, :, lo:]
+            into = sums[:, :, lo:]
+            np.add(last[:, None, :], free, out=into)
+            np.max(into, axis=0, out=now[:FREE])
             np.maximum(last[1:FREE] + turn, last[FREE:] + stay, out=now[FREE:])
-            plain &= sums[0, 0] == now[0]  # O comes from O
-            now += scores[t]
+            plain[lo:] &= into[0, 0] == now[0]  # O comes from O
+            now += scores[t, :, lo:]
         path = np.zeros((steps, batch), np.int8)
-        end = best[-1].argmax(0)
+        end = best[sizes - 1, :, np.arange(batch)].argmax(1)
         some = np.flatnonzero(~plain | (end > 0))  # all other paths are O throughout
         if len(some):
             # Which label came before is looked up on the way back, for the labels of the path alone.
-            into, at = np.ascontiguousarray((move + _FORBIDDEN).T), end[some]
+            into, at, size = np.ascontiguousarray((move + _FORBIDDEN).T), end[some], sizes[some]
             path[-1, some] = at
             held = best[:, :, some]
             for t in range(steps - 1, 0, -1):
-                at = (held[t - 1] + into[at].T).argmax(0)
+                at = np.where(t < size, (held[t - 1] + into[at].T).argmax(0), at)
                 path[t - 1, some] = at
         return path
 

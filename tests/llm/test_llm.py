@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from korrel.llm import bpe, mix, mojibake, overlap, pack, pii, split, stuffing
 from korrel.llm.queries import QUERIES, SQL
-from korrel.llm.tagger import LABELS, BiLstmCrf
+from korrel.llm.tagger import LABELS, BiLstmCrf, encode
 from tests.oracle import database, same
 
 DOCS = "doc_id bigint, text string, split string, source string, x string"
@@ -178,6 +178,32 @@ def test_units_are_whole_texts_and_do_not_depend_on_neighbours():
     assert found[: len(texts)] == found[-len(texts) :] == [pii.finder().find([t])[0] for t in texts]
 
 
+def test_windows_are_read_as_if_alone():
+    rng, model = np.random.default_rng(4), pii.finder().model
+    texts = ["", "Adres: Boterbergdreef nr. 15", "Adres: Boterbergdreef nr. 15 te Ede", "Bel Jan de Vries, tel. 0612345678", "Jan de Vries", DUTCH[:300], "x"]
+    texts += [t[int(a) :] + t[: int(b)] for t in texts for a, b in rng.integers(0, 30, (3, 2))]
+    windows = [encode(t) for t in [*texts, *texts[::-1]]]
+    want = [model.decode(model.emissions(x[:, None]))[:, 0] if len(x) else x for x in windows]
+    assert any(y.any() for y in want)
+    for got in (model.paths(windows), model.paths(windows, 3), pii.finder().label(windows)):
+        assert all(np.array_equal(a, b) for a, b in zip(got, want))
+
+
+def test_shared_beginnings_are_read_once():
+    model, words = BiLstmCrf.fresh(3, 2, 1), [encode(t) for t in sorted(["abc", "abcd", "abx", "b", "abc"])]
+    size = np.array([len(x) for x in words])
+    scores, at = model._read(np.concatenate(words), np.cumsum(size) - size, size, "f")
+    assert len(scores) == len({w.tobytes()[:n] for w in words for n in range(1, len(w) + 1)})
+    assert np.allclose(scores[at[: size[0]]], np.einsum("kh,thb->tk", model.p["Of"], model._forward(model._inputs(words[0][:, None]), "f", [])), atol=1e-5)
+
+
+def test_pieces_do_not_follow_the_batches(monkeypatch):
+    monkeypatch.setattr(pii, "CHARS", 10)
+    rows = [(i, "x" * n) for i, n in enumerate([3, 4, 4, 25, 1, 9, 1])]
+    got = [keys for keys, _ in pii.pieces(iter(rows))]
+    assert got == [[0, 1], [2], [3], [4, 5], [6]] and not list(pii.pieces(iter([])))
+
+
 def test_gradients():
     model, rng = BiLstmCrf.fresh(5, 4, 2), np.random.default_rng(0)
     for k in model.p:

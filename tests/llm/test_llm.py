@@ -410,6 +410,21 @@ def test_rounds_bound_the_rows_that_meet_and_lose_no_pair(spark, monkeypatch):
     assert sum(wide) == sum(narrow) == whole and len(wide) == 3 < len(narrow) and max(narrow) < whole / 2
 
 
+def test_candidate_join_shuffles_three_numbers_a_row(spark, monkeypatch):
+    plans, first = [], overlap.cut
+    monkeypatch.setattr(overlap, "cut", lambda df: (plans.append(df._jdf.queryExecution().optimizedPlan()), first(df))[1])
+    text = " ".join(f"w{i}" for i in range(30))
+    df = spark.createDataFrame([(1, text, "train", "s", ""), (2, text + " x", "test", "s", "")], DOCS)
+    assert [tuple(r)[:2] for r in overlap.cross_split_pairs(df).collect()] == [(2, 1)]
+
+    def joins(plan):
+        below = [plan.children().apply(i) for i in range(plan.children().size())]
+        return [plan] * (plan.nodeName() == "Join") + [j for p in below for j in joins(p)]
+
+    widths = [[j.children().apply(i).output().size() for i in (0, 1)] for p in plans for j in joins(p) if "eval_rep" in j.output().toString()]
+    assert widths == [[3, 3]]
+
+
 def test_words():
     assert overlap.words_of("ﬁjn Één_twee 1½ ①") == ["fijn", "één", "twee", "11", "2", "1"]
 

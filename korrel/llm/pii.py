@@ -31,7 +31,7 @@ from korrel.llm.tagger import FREE, KINDS, BiLstmCrf, encode
 WEIGHTS = os.path.join(os.path.dirname(__file__), "pii_weights.npz")
 WINDOW, OVERLAP, BATCH = 512, 48, 1024
 #: Characters that are read together, and that are cut into units together.
-CHARS, CUT = 16_000_000, 2_000_000
+CHARS, CUT = 14_000_000, 2_000_000
 _DIGIT = re.compile(r"\d")
 _AT = re.compile(r"@|[(\[{]\s*(?:at|apenstaartje|æ)\s*[)\]}]|\bat\b", re.I)
 _LETTERS = re.compile(r"[^\W\d_]{2,}")

@@ -19,6 +19,8 @@ FREE = 1 + len(KINDS)
 _PLAIN = 128
 #: Columns that are read together.
 COLUMNS = 2048
+#: Characters of windows that are read together at most.
+READ = 10_000_000
 #: Windows whose ends are read together.
 PART = 16_384
 
@@ -217,6 +219,9 @@ class BiLstmCrf:
         paths = [np.zeros(0, np.int8)] * len(windows)
         if not size.sum():
             return paths
+        if size.sum() > READ and len(windows) > 1:  # memory follows what is read together
+            half = min(max(1, int(np.searchsorted(np.cumsum(size), size.sum() // 2))), len(windows) - 1)
+            return self.paths(windows[:half], batch) + self.paths(windows[half:], batch)
         flat = np.concatenate(windows)
         first = np.cumsum(size) - size
         whole, back = flat.tobytes(), flat[::-1].tobytes()

@@ -178,7 +178,9 @@ def test_units_are_whole_texts_and_do_not_depend_on_neighbours():
     assert found[: len(texts)] == found[-len(texts) :] == [pii.finder().find([t])[0] for t in texts]
 
 
-def test_windows_are_read_as_if_alone():
+def test_windows_are_read_as_if_alone(monkeypatch):
+    from korrel.llm import tagger
+
     rng, model = np.random.default_rng(4), pii.finder().model
     texts = ["", "Adres: Boterbergdreef nr. 15", "Adres: Boterbergdreef nr. 15 te Ede", "Bel Jan de Vries, tel. 0612345678", "Jan de Vries", DUTCH[:300], "x"]
     texts += [t[int(a) :] + t[: int(b)] for t in texts for a, b in rng.integers(0, 30, (3, 2))]
@@ -187,6 +189,8 @@ def test_windows_are_read_as_if_alone():
     assert any(y.any() for y in want)
     for got in (model.paths(windows), model.paths(windows, 3), pii.finder().label(windows)):
         assert all(np.array_equal(a, b) for a, b in zip(got, want))
+    monkeypatch.setattr(tagger, "READ", 40)
+    assert all(np.array_equal(a, b) for a, b in zip(model.paths(windows), want))
 
 
 def test_shared_beginnings_are_read_once():

@@ -61,14 +61,17 @@ def unit_ends(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     abbreviation; an empty line doesn't count behind a comma or colon."""
     n = len(codes)
     space = (codes == 32) | (codes == 10)
-    first = np.flatnonzero(space[1:] & ~space[:-1]) + 1  # runs of white space behind something
-    first = first[~np.isin(first, starts)]
-    solid = np.flatnonzero(~space)
-    if not len(first) or not len(solid):
+    turns = np.flatnonzero(space[1:] != space[:-1]) + 1
+    first, stop = turns[int(n > 0 and space[0]) :: 2], turns[int(n > 0 and space[0]) + 1 :: 2]  # runs of white space behind something
+    stop = np.append(stop, n) if len(stop) < len(first) else stop
+    new = np.zeros(n + 1, bool)
+    new[starts] = True
+    inside = ~new[first]
+    first, stop = first[inside], stop[inside]
+    if not len(first):
         return np.empty(0, np.int64)
-    behind = np.searchsorted(solid, first)
-    stop = np.where(behind < len(solid), solid[np.minimum(behind, len(solid) - 1)], n)
-    lines = np.r_[0, np.cumsum(codes == 10)]
+    lines = np.zeros(n + 1, np.int32)
+    np.cumsum(codes == 10, out=lines[1:])
     mark = codes[first - 1]
     broken = lines[stop] - lines[first]
     ends = (mark == 33) | (mark == 63) | (mark == 46) & (broken > 0) | (broken > 1) & (mark != 44) & (mark != 58)

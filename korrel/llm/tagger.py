@@ -21,6 +21,8 @@ _PLAIN = 128
 COLUMNS = 2048
 #: Characters of windows that are read together at most.
 READ = 10_000_000
+#: Characters, with those that fill windows up to the longest, of windows that are decoded together.
+CELLS = 131_072
 #: Windows whose ends are read together.
 PART = 16_384
 
@@ -230,32 +232,51 @@ class BiLstmCrf:
         ahead = np.array(sorted(range(len(windows)), key=lambda i: whole[places[i][0] : places[i][1]]))
         behind = np.array(sorted(range(len(windows)), key=lambda i: back[n - places[i][1] : n - places[i][0]]))
         forward, f_at = self._read(flat, first[ahead], size[ahead], "f")
+        forward += self.p["c"]
+        # What a group of windows needs lies in the same memory for each: new memory costs more than what is done in it.
+        longest = int(size.max())
+        places, numbers = np.empty((2, max(CELLS, longest)), np.intp)
+        space = np.zeros((3, max(CELLS, longest) * len(LABELS)), np.float32)
         for a in range(0, len(behind), PART):
             part = behind[a : a + PART]
             backward, b_at = self._read(flat, (first + size - 1)[part], size[part], "b")
             part = part[np.argsort(size[part], kind="stable")]
             part = part[np.searchsorted(size[part], 1) :]
-            for c in range(0, len(part), batch):
+            c = 0
+            while c < len(part):
                 group = part[c : c + batch]
-                at = first[group] + np.minimum(np.arange(size[group[-1]])[:, None], size[group] - 1)
-                scores = np.take(forward, np.take(f_at, at), axis=0)
-                scores += np.take(backward, np.take(b_at, at), axis=0)
-                scores += self.p["c"]
-                found = np.ascontiguousarray(self.decode(np.ascontiguousarray(scores.transpose(0, 2, 1)), size[group]).T)
+                group = group[: max(1, CELLS // int(size[group[-1]]))]
+                c += len(group)
+                shape = (int(size[group[-1]]), len(group), len(LABELS))
+                cells = shape[0] * shape[1]
+                at, number = places[:cells].reshape(shape[:2]), numbers[:cells].reshape(shape[:2])
+                scores, more, best = (x[: cells * shape[2]] for x in space)
+                np.minimum(np.arange(shape[0])[:, None], size[group] - 1, out=at)
+                at += first[group]
+                number[:] = f_at[at]
+                np.take(forward, number, axis=0, out=scores.reshape(shape), mode="clip")
+                number[:] = b_at[at]
+                np.take(backward, number, axis=0, out=more.reshape(shape), mode="clip")
+                scores += more
+                scores = scores.reshape(shape).transpose(0, 2, 1)
+                turned = more.reshape(scores.shape)
+                turned[:] = scores
+                found = np.ascontiguousarray(self.decode(turned, size[group], best.reshape(scores.shape)).T)
                 for i, row, last in zip(group.tolist(), found, size[group].tolist()):
                     paths[i] = row[:last]
         return paths
 
-    def decode(self, scores: np.ndarray, sizes: np.ndarray | None = None) -> np.ndarray:
+    def decode(self, scores: np.ndarray, sizes: np.ndarray | None = None, best: np.ndarray | None = None) -> np.ndarray:
         """Best label path (T, B) of scores (T, K, B) under the CRF transitions. I-x follows only B-x and I-x, so a step
         is one sum and maximum over all labels for O and the B-, and one over two labels for each I-. With ``sizes``,
-        which grow, column i ends after sizes[i] steps, and what its path has behind them means nothing."""
+        which grow, column i ends after sizes[i] steps, and what its path has behind them means nothing. ``best`` is memory
+        of the shape of the scores that is written over."""
         steps, k, batch = scores.shape
         sizes = np.full(batch, steps) if sizes is None else sizes
         live = np.searchsorted(sizes, np.arange(steps), "right").tolist()  # the first column that goes on at a step
         move = self.p["T"]
         free, turn, stay = move[:, :FREE, None], np.diag(move[1:FREE, FREE:])[:, None], np.diag(move[FREE:, FREE:])[:, None]
-        best = np.zeros((steps, k, batch), np.float32)
+        best = np.zeros((steps, k, batch), np.float32) if best is None else best
         best[0] = scores[0] + (self.p["start"] + np.r_[np.zeros(FREE), np.full(k - FREE, -1e4)].astype(np.float32))[:, None]
         sums = np.empty((k, FREE, batch), np.float32)
         plain = np.ones(batch, bool)

@@ -193,6 +193,26 @@ def test_windows_are_read_as_if_alone(monkeypatch):
     assert all(np.array_equal(a, b) for a, b in zip(model.paths(windows), want))
 
 
+def test_groups_share_memory_that_is_written_over(monkeypatch):
+    from korrel.llm import tagger
+
+    rng, model = np.random.default_rng(5), pii.finder().model
+    scores, sizes = rng.normal(0, 3, (9, len(LABELS), 6)).astype(np.float32), np.array([1, 2, 2, 5, 9, 9])
+    used = rng.normal(0, 1e3, scores.shape).astype(np.float32)
+    for a, b, n in zip(model.decode(scores, sizes).T, model.decode(scores, sizes, used).T, sizes):
+        assert np.array_equal(a[:n], b[:n])
+    windows = [encode(t) for t in ("Bel Jan de Vries, tel. 0612345678", "x", "", "Adres: Boterbergdreef nr. 15 te Ede", DUTCH[:200])]
+    want = model.paths(windows)
+    monkeypatch.setattr(tagger, "CELLS", 40)
+    assert any(y.any() for y in want) and all(np.array_equal(a, b) for a, b in zip(model.paths(windows), want))
+
+
+def test_unit_ends_at_white_space_of_any_form():
+    texts = ["  Geen bijzonderheden.\n", "\n\n", "a", "Goed herstel.   ", "  \n x\n \ny z", "Goed herstel.\t\n Bel  Jan"]
+    units, laid = pii.units_of(texts)
+    assert [[len(units[i]) for i in ids] for ids in laid] == [[23], [2], [1], [16], [8, 3], [16, 8]]
+
+
 def test_shared_beginnings_are_read_once():
     model, words = BiLstmCrf.fresh(3, 2, 1), [encode(t) for t in sorted(["abc", "abcd", "abx", "b", "abc"])]
     size = np.array([len(x) for x in words])
